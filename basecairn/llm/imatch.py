@@ -5,7 +5,7 @@ As the shares of all terms sum to the mean number of distinct terms of a documen
 divided by BAND_LOW, however large the corpus is, so it goes to every task. Counts cover all documents: each task counts its
 own terms, partial counts are summed by term.
 
-A fingerprint has one hash for each of LEXICONS randomised lexicons. Lexicon s keeps each term with probability RATES[s],
+A fingerprint has one hash for each of the randomised lexicons (RATES). Lexicon s keeps each term with probability RATES[s],
 decided by a hash of term and s; a document's distinct kept terms, sorted, are hashed; "-" where it has none. Coarse rates
 serve short documents, fine ones long documents. Likeness: the share of equal hashes among the lexicons in which either
 document has terms, 1 for equal fingerprints of which a lexicon has terms.
@@ -29,8 +29,7 @@ from pyspark.sql import functions as F
 from .common import prepare
 
 BAND_LOW, BAND_HIGH = 5e-4, 0.2
-RATES = tuple(r for r in (1.0, 0.25, 0.0625, 1 / 64, 1 / 256) for _ in range(8))
-PLAIN = {i for i, r in enumerate(RATES) if r == 1.0}
+RATES = (1.0,) + (1 / 16,) * 12 + (1 / 64,) * 20 + (1 / 256,) * 20 + (1 / 1024,) * 12
 _EMPTY = "-"
 
 
@@ -101,15 +100,10 @@ class Fingerprints:
         if not len(places):
             return ["0:" + xxhash.xxh3_64_hexdigest(text or "")]
         out: list[str] = []
-        member, terms, every = self.member[:, places], self.terms[places], {}
-        for s, rate in enumerate(self.rates):
-            if rate >= 1.0 and every:
-                continue  # the whole lexicon is hashed once
+        member, terms = self.member[:, places], self.terms[places]
+        for s in range(len(self.rates)):
             kept = terms[member[s]]
-            value = xxhash.xxh3_64_hexdigest(kept.tobytes(), seed=s)[:8] if len(kept) else _EMPTY
-            if rate >= 1.0:
-                every[s] = value
-            out.append(value)
+            out.append(xxhash.xxh3_64_hexdigest(kept.tobytes(), seed=s)[:6] if len(kept) else _EMPTY)
         return out
 
 
