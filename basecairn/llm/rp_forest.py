@@ -4,8 +4,8 @@ The trees are fitted on the driver on a bounded sample (``FIT_ROWS`` vectors, th
 splits at the median of its sample's projections on a random direction, down to ``leaves`` leaves. Every vector is then
 assigned a leaf of each tree. A query descends all trees through a shared queue ordered by the least margin passed so far (the
 path's worst violated margin), and takes leaves until their estimated rows reach ``SEARCH_SHARE`` of all rows. Queries and vectors meet by
-(tree, leaf, slice); a leaf is cut into slices of bounded size, so no group is unbounded. In a slice exact cosines in double
-precision are one matrix product and only the best k of each query go on; the last step joins them by query.
+(tree, leaf, slice); a leaf is cut into slices of bounded size and queries into blocks, so no group is unbounded. In a slice cosines in
+double precision are one matrix product; a lot of several slices gives the best k of each query; the last step joins them by query.
 
 On nearly isotropic vectors no index separates near from far by much, so the share is large; it is the parameter that sets the recall.
 
@@ -24,14 +24,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop, prepare, written
+from .common import prepare, written
 
 FIT_ROWS = 16_384
 TREES = 8
 LEAF_ROWS = 128
 MOST_LEAVES = 4096
-SEARCH_SHARE = 0.72
+SEARCH_SHARE = 0.8
 SLICE_ROWS = 4096
+LOT_ROWS = 16_384
+BLOCK_QUERIES = 8192
 
 
 class Forest:
@@ -116,7 +118,6 @@ def nearest(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int =
     leaves = min(MOST_LEAVES, max(1, min(n, len(sample) * 4) // LEAF_ROWS))
     forest = Forest(sample / np.linalg.norm(sample, axis=1, keepdims=True), trees, leaves)
     shared = spark.sparkContext.broadcast(forest)
-    slices = max(1, -(-n // (leaves * SLICE_ROWS)))  # slices that a leaf of mean size needs
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = shared.value
@@ -136,33 +137,47 @@ def nearest(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int =
     points = points.select("vec_id", F.col("v").cast("array<double>").alias("v"), F.posexplode("leaves").alias("tree", "leaf")).select("vec_id", "v", (F.col("tree") * (1 << 20) + F.col("leaf")).alias("cell"))
     sizes, sizes_at = written(spark, points.groupBy("cell").agg(F.count("*").alias("rows")).withColumn("slices", F.ceil(F.col("rows") / SLICE_ROWS).cast("int")).select("cell", "slices"), "cells")
     cells = F.broadcast(sizes)  # at most trees * MOST_LEAVES rows
-    points = points.join(cells, "cell").select("cell", F.pmod(F.xxhash64("vec_id", "cell"), F.col("slices")).cast("int").alias("slice"), F.lit(False).alias("asks"), "vec_id", "v")
-    asks = usable.where(is_query).select("vec_id", "v").mapInArrow(routed, "vec_id long, v array<double>, leaves array<int>")
-    asks = asks.select("vec_id", "v", F.explode("leaves").alias("cell")).join(cells, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(True).alias("asks"), "vec_id", "v")
-
-    def best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray) -> Iterator[tuple]:
-        for q in range(len(own)):
-            s = scores[q]
-            ok = np.flatnonzero(ids != own[q])
-            if len(ok) > k:  # every row that ties with the k-th stays in the running
-                kth = np.partition(s[ok], len(ok) - k)[len(ok) - k]
-                ok = ok[s[ok] >= kth]
-            for j in ok[np.lexsort((ids[ok], -s[ok]))][:k]:
-                yield int(own[q]), int(ids[j]), float(s[j])
+    queries = usable.where(is_query)
+    lots = max(1, -(-trees * n // LOT_ROWS))  # several slices meet in one task and give one list for each query
+    blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
+    lot = F.pmod(F.xxhash64("cell", "slice"), F.lit(lots))
+    points = points.join(cells, "cell").withColumn("slice", F.pmod(F.xxhash64("vec_id", "cell"), F.col("slices")).cast("int"))
+    points = points.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(lot.alias("lot"), F.col("block").cast("int"), "cell", "slice", F.lit(False).alias("asks"), "vec_id", "v")
+    asks = queries.select("vec_id", "v").mapInArrow(routed, "vec_id long, v array<double>, leaves array<int>")
+    asks = asks.select("vec_id", "v", F.explode("leaves").alias("cell")).join(cells, "cell").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    asks = asks.select(lot.alias("lot"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), "cell", "slice", F.lit(True).alias("asks"), "vec_id", "v")
 
     def meet(table: pa.Table) -> pa.Table:
-        asking = table.column("asks").to_numpy()
+        asking, cell = table.column("asks").to_numpy(), table.column("cell").to_numpy().astype(np.int64) << 32 | table.column("slice").to_numpy()
         x, ids = _matrix(table.column("v").combine_chunks(), dim), table.column("vec_id").to_numpy()
-        q, c = np.flatnonzero(asking), np.flatnonzero(~asking)
-        rows: list[tuple] = []
-        if len(q) and len(c):
-            cn = np.linalg.norm(x[c], axis=1)
-            for lot in np.array_split(q, -(-len(q) // 512)):
-                scores = (x[lot] @ x[c].T) / (np.linalg.norm(x[lot], axis=1)[:, None] * cn[None, :])
-                rows += best(scores, ids[c], ids[lot])
-        return pa.table({"query_id": pa.array([r[0] for r in rows], pa.int64()), "vec_id": pa.array([r[1] for r in rows], pa.int64()), "score": pa.array([r[2] for r in rows], pa.float64())})
-
-    found = points.unionByName(asks).groupBy("cell", "slice").applyInArrow(meet, "query_id long, vec_id long, score double")
+        norm = np.linalg.norm(x, axis=1)
+        order = np.lexsort((asking, cell))
+        edges = np.flatnonzero(np.diff(cell[order], prepend=-1, append=-1))
+        left, right = [], []
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            own = order[lo:hi]
+            c, q = own[~asking[own]], own[asking[own]]
+            for part in np.array_split(q, max(1, -(-len(q) // 512))) if len(c) and len(q) else ():
+                scores = (x[part] @ x[c].T) / (norm[part][:, None] * norm[c][None, :])
+                scores[ids[part][:, None] == ids[c][None, :]] = -np.inf
+                least = np.partition(scores, len(c) - k, axis=1)[:, len(c) - k] - 1e-9 if len(c) > k else np.full(len(part), -2.0)
+                r, j = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))  # all that tie stay in the running
+                left.append(part[r])
+                right.append(c[j])
+        a, b = (np.concatenate(y) if y else np.zeros(0, np.int64) for y in (left, right))
+        exact = (x[a] * x[b]).sum(1) / (norm[a] * norm[b])
+        qa, vb = ids[a], ids[b]
+        order = np.lexsort((vb, -exact, qa))
+        qa, vb, exact, a = qa[order], vb[order], exact[order], a[order]
+        fresh = np.ones(len(qa), bool)
+        fresh[1:] = (qa[1:] != qa[:-1]) | (vb[1:] != vb[:-1]) | (exact[1:] != exact[:-1])
+        qa, vb, exact = qa[fresh], vb[fresh], exact[fresh]
+        starts = np.flatnonzero(np.diff(qa, prepend=qa[0] - 1)) if len(qa) else np.zeros(0, int)
+        rank = np.arange(len(qa)) - np.repeat(starts, np.diff(np.append(starts, len(qa))))
+        best = rank < k
+        return pa.table({"query_id": pa.array(qa[best], pa.int64()), "vec_id": pa.array(vb[best], pa.int64()), "score": pa.array(exact[best], pa.float64())})
+
+    found = points.unionByName(asks).groupBy("lot", "block").applyInArrow(meet, "query_id long, vec_id long, score double")
     # a candidate that several trees give counts once; of each query at most k rows a cell come here
     once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     ranked = once.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id"))), 1, k).alias("top"))
