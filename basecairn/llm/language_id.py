@@ -64,7 +64,9 @@ class TextModel:
 
 
 def trained(docs: DataFrame, rows: int = FIT_DOCS) -> TextModel:
-    sample = docs.where("lang is not null and text is not null").select("doc_id", "lang", "text").orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(rows).toArrow()
+    known = docs.where("lang is not null and text is not null")
+    chosen = known.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    sample = known.select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id").limit(2 * rows).toArrow()
     names, texts = sample.column("lang").to_pylist(), sample.column("text").to_pylist()
     langs = sorted(set(names))
     counts = np.full((CELLS, len(langs)), 0.5)
