@@ -208,11 +208,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sketch: int = SKETCH,
     long, short = ahead((similarity, 100)), ahead((2 * similarity, 100 + similarity))
     prefixes, prefixes_at = written(
         spark,
-        ranked.withColumns({"long": long, "short": short}).where("long > 0").select("digest", "n_shingles", "possible", "root", "short", F.posexplode(F.expr("slice(listed, 1, long)")).alias("at", "x")).select("digest", "n_shingles", "possible", "root", F.expr("at < short").alias("short"), F.col("x.value").alias("value")),
+        ranked.withColumns({"long": long, "short": short}).where("long > 0").select("digest", "n_shingles", "possible", "root", "short", "listed", F.posexplode(F.expr("slice(listed, 1, long)")).alias("at", "x"))
+        .select("digest", "n_shingles", (F.col("possible") - F.col("at")).alias("possible"), "root", F.expr("at < short").alias("short"), F.col("x.value").alias("value"), F.expr("transform(slice(listed, 1, at), y -> y.value)").alias("rarer")),
         "prefixes",
     )
-    side = lambda x: prefixes.select("value", F.col("short").alias(f"short_{x}"), F.col("digest").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("possible").alias(f"possible_{x}"), F.col("root").alias(f"root_{x}"))
-    second = side("a").where("short_a").join(side("b"), "value").where("(n_a < n_b or n_a = n_b and a < b) and root_a <> root_b").where(_reachable("a", "b", similarity)).select(*pair).dropDuplicates(["a", "b"])
+    side = lambda x: prefixes.select("value", F.col("short").alias(f"short_{x}"), F.col("digest").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("possible").alias(f"possible_{x}"), F.col("root").alias(f"root_{x}"), F.col("rarer").alias(f"rarer_{x}"))
+    # a pair comes once, from the rarest value that both list; what is rarer is not shared, so `possible` counts from there on
+    second = side("a").where("short_a").join(side("b"), "value").where("(n_a < n_b or n_a = n_b and a < b) and root_a <> root_b").where(_reachable("a", "b", similarity)).where(~F.arrays_overlap("rarer_a", "rarer_b")).select(*pair)
     more, more_at = _confirmed(spark, second, reps, sets, sketch, similarity)
     final, final_at = connected_components(spark, links.union(held).union(more))
     grouped = classes.join(final.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "rep", F.coalesce("root", "digest").alias("root"))
