@@ -33,11 +33,12 @@ MAGIC = b"BCTI0001"
 END = 1
 SHARD_IDS = 8_000_000
 HEAD = struct.Struct("<8sIIQQ")
+_DIRECT = np.uint32(1 << 31)
 
 
 def _mix(x: np.ndarray, seed) -> np.ndarray:
     with np.errstate(over="ignore"):
-        x = (x ^ np.asarray(seed, np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (np.asarray(seed, np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))) * np.uint64(0x9E3779B97F4A7C15)
         x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
         return x ^ (x >> np.uint64(32))
 
@@ -47,7 +48,8 @@ def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def perfect_hash(keys: np.ndarray) -> np.ndarray:
-    """Displacements of a minimal perfect hash of distinct uint64 keys: slot(key) = mix(key, displacement of its bucket) mod m."""
+    """Displacements of a minimal perfect hash of distinct uint64 keys: slot(key) = mix(key, displacement of its bucket) mod m;
+    a bucket of one key has its slot itself, with the highest bit set."""
     m = len(keys)
     buckets = max(1, -(-m // 3))
     of = _bucket(keys, buckets)
@@ -55,9 +57,9 @@ def perfect_hash(keys: np.ndarray) -> np.ndarray:
     counts = np.bincount(of, minlength=buckets)
     starts = np.concatenate([[0], np.cumsum(counts)])
     seeds, taken = np.zeros(buckets, np.uint32), np.zeros(m, bool)
-    tries = np.arange(1, 257, dtype=np.uint64)
+    tries = np.arange(1, 65, dtype=np.uint64)
     for b in np.argsort(-counts, kind="stable"):
-        if not counts[b]:
+        if counts[b] < 2:
             break
         own, base = keys[order[starts[b] : starts[b + 1]]], 0
         while True:
@@ -72,11 +74,14 @@ def perfect_hash(keys: np.ndarray) -> np.ndarray:
                 taken[slots[hit[0]]] = True
                 break
             base += len(tries)
+    seeds[counts == 1] = np.flatnonzero(~taken).astype(np.uint32) | _DIRECT
     return seeds
 
 
 def _slots(keys: np.ndarray, seeds: np.ndarray, m: int) -> np.ndarray:
-    return (_mix(keys, seeds[_bucket(keys, len(seeds))].astype(np.uint64)) % np.uint64(m)).astype(np.int64)
+    own = seeds[_bucket(keys, len(seeds))]
+    hashed = (_mix(keys, own.astype(np.uint64)) % np.uint64(m)).astype(np.int64)
+    return np.where(own & _DIRECT, np.minimum((own & ~_DIRECT).astype(np.int64), m - 1), hashed)
 
 
 def _prints(keys: np.ndarray) -> np.ndarray:
@@ -152,13 +157,15 @@ def shards(data: bytes) -> Iterator[Shard]:
 class Encoder:
     """Ids of texts by a tokenizer whose tokens never cross ASCII white space: words are remembered."""
 
-    most = 400_000
+    most = 300_000
 
     def __init__(self, tokenizer_file: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, bytes] = {}
+        mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         if len(self.known) > self.most:
@@ -166,14 +173,35 @@ class Encoder:
         split = [_spaced(t).split(" ") if t else () for t in texts]
         known = self.known
         new = list({w for row in split for w in row if w not in known})
-        for at in range(0, len(new), 20_000):
-            lot = new[at : at + 20_000]
-            for w, e in zip(lot, self.tokenizer.encode_batch_fast(lot, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
+        groups = [new[at : at + 256] for at in range(0, len(new), 256)]
+        for at in range(0, len(groups), 40):
+            lot = groups[at : at + 40]
+            for words, e in zip(lot, self.tokenizer.encode_batch_fast([f" {_MARK} ".join(g) for g in lot], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, "<u4")
+                cuts = np.flatnonzero(ids == self.mark) if self.mark is not None else ids[:0]
+                if len(cuts) == len(words) - 1:
+                    raw, ends = ids.tobytes(), [-1, *cuts.tolist(), len(ids)]
+                    for i, w in enumerate(words):
+                        known[w] = raw[4 * ends[i] + 4 : 4 * ends[i + 1]]
+                else:  # the mark itself is in a word, or the vocabulary has no id of its own for it
+                    for w, one in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
+                        known[w] = np.array(one.ids, "<u4").tobytes()
         get, end = known.__getitem__, np.array([END], "<u4").tobytes()
         return [np.frombuffer(b"".join(map(get, row)) + end, "<u4") for row in split]
 
 
+#: Stands between words that are encoded in one string.
+_MARK = "\x01"
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(tokenizer_file: str) -> Encoder:
+    """One encoder for each worker process, so that its words outlive a task."""
+    if tokenizer_file not in _ENCODERS:
+        _ENCODERS[tokenizer_file] = Encoder(tokenizer_file)
+    return _ENCODERS[tokenizer_file]
+
+
 def _spaced(text: str) -> str:
     for c in "\t\n\x0b\x0c\r":
         text = text.replace(c, " ")
@@ -185,7 +213,7 @@ def write_shards(spark: SparkSession, docs: DataFrame, tokenizer_file: str, path
     prepare(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(tokenizer_file)
+        encode = encoder(tokenizer_file)
         wide = encode.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16
         keys, ids, size = [], [], 0
         for batch in batches:
