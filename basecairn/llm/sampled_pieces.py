@@ -25,14 +25,15 @@ Equal rows get equal samples. Null key: keyed as "null".
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from itertools import chain as chained
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, StructField, StructType
+from pyspark.sql.types import DataType, StringType, StructField, StructType
 
 from .common import prepare
 
@@ -109,9 +110,7 @@ class Lattices:
         """The edges of parts of about one width in order of part, place and falling length: part, place, length, piece id, probability given the place."""
         lengths = np.array([len(p) for p in parts])
         width = int(lengths.max())
-        codes = np.zeros((len(parts), width), np.uint32)
-        for i, p in enumerate(parts):
-            codes[i, : lengths[i]] = np.frombuffer(p.encode("utf-32-le"), np.uint32)
+        codes = np.frombuffer("".join([p.ljust(width, "\0") for p in parts]).encode("utf-32-le"), np.uint32).reshape(len(parts), width)
         longest = min(self.longest, width)
         prefix = _hash_rows(codes)
         logs = width > DEEP  # products of weights would underflow
@@ -150,9 +149,10 @@ class Lattices:
 
 
 class Store:
-    """The lattices of remembered parts: nodes numbered through, the edges of node x from edge[x] to edge[x + 1]."""
+    """The lattices of remembered parts: nodes numbered through, the edges of node x from edge[x] to edge[x + 1].
+    Parts that only byte pieces spell have no lattice; their places are negative, -1 - place being their number in ``spelling``."""
 
-    most = 400_000
+    most = 200_000
 
     def __init__(self, lattices: Lattices):
         self.lattices = lattices
@@ -160,6 +160,7 @@ class Store:
 
     def clear(self) -> None:
         self.place: dict[str, int] = {}
+        self.count, self.spelling = 0, []
         self.base, self.length = np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int32)
         self.edge = np.zeros(1 << 14, np.int32)
         self.nodes = self.used = 0
@@ -167,10 +168,15 @@ class Store:
 
     def add(self, parts: list[str]) -> None:
         """Remembers parts that it does not hold yet."""
-        start = len(self.place)
         for p in parts:
-            self.place[p] = len(self.place)
-        while len(self.base) < len(self.place):
+            if len(p) == 1 and p not in self.lattices.single:
+                self.spelling.append([self.lattices.byte_id[b] for b in p.encode()])
+                self.place[p] = -len(self.spelling)
+        parts = [p for p in parts if p not in self.place]
+        start = self.count
+        self.place.update(zip(parts, range(start, start + len(parts))))
+        self.count += len(parts)
+        while len(self.base) < self.count:
             self.base, self.length = np.concatenate([self.base, self.base * 0]), np.concatenate([self.length, self.length * 0])
         sizes = np.array([len(p) for p in parts])
         low, high = 0, 4
@@ -217,15 +223,10 @@ def sample(store: Store, texts: list[str | None], keys: list[str], samples: int
     split = [lattices.parts(t) if t else [] for t in texts]
     if len(store.place) > store.most:
         store.clear()
-    alone = {p for row in split for p in row if p not in store.place}
-    forced = {p for p in alone if len(p) == 1 and p not in lattices.single}
-    store.add(sorted(alone - forced))
-    names = sorted(forced)
-    codes = {p: -1 - i for i, p in enumerate(names)}  # parts that only byte pieces spell
-    spelling = [[lattices.byte_id[b] for b in p.encode()] for p in names]
-    place, n_rows = store.place, len(texts)
+    store.add(sorted(set().union(*split).difference(store.place)))
+    spelling, n_rows = store.spelling, len(texts)
     counts = np.array([len(r) for r in split], np.int64)
-    parts = np.fromiter((place[p] if p in place else codes[p] for row in split for p in row), np.int64, int(counts.sum()))
+    parts = np.fromiter(map(store.place.__getitem__, chained.from_iterable(split)), np.int64, int(counts.sum()))
     first = np.concatenate([[0], np.cumsum(counts)])
     owner = np.repeat(np.arange(n_rows), counts)
     row_key = np.array([xxhash.xxh3_64_intdigest(str(k), seed=seed) for k in keys], np.uint64)
@@ -368,24 +369,40 @@ def _column(rows: list[list[tuple]]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([rank, ids, *columns], ["rank", "ids", "log_p", "perturbed", "inclusion", "decoded"]))
 
 
-def sampled(spark: SparkSession, docs: DataFrame, model_file: str, key: Column, samples: int = SAMPLES, seed: int = 0, temper: float = TEMPER) -> DataFrame:
-    """docs with pieces: for each text up to ``samples`` segmentations (SCHEMA); decoded tells that the ids give the text again. No shuffle."""
+_STORES: dict[tuple[str, float], Store] = {}
+
+
+def _store(model_file: str, temper: float) -> Store:
+    """One store for each worker process, so that its lattices outlive a task."""
+    if (model_file, temper) not in _STORES:
+        _STORES[model_file, temper] = Store(Lattices(model_file, temper))
+    return _STORES[model_file, temper]
+
+
+def sampled(
+    spark: SparkSession, docs: DataFrame, model_file: str, key: Column, samples: int = SAMPLES, seed: int = 0, temper: float = TEMPER, keep: Sequence[str] | None = None
+) -> DataFrame:
+    """docs (or only its columns ``keep``) with pieces: for each text up to ``samples`` segmentations (SCHEMA); decoded tells that the ids give the text again. No shuffle."""
     prepare(spark)
+    kept = [f for f in docs.schema.fields if f.name != "pieces" and (keep is None or f.name in keep)]
+    names = [f.name for f in kept]
+    # a text that comes back as it is crosses to Python once
+    at = names.index("text") if "text" in names and docs.schema["text"].dataType == StringType() else len(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store = Store(Lattices(model_file, temper))
+        store = _store(model_file, temper)
         for batch in batches:
-            texts, keys, found, lot, size = batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), [], [], 0
+            texts, keys, found, lot, size = batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), [], [], 0
             for i, t in enumerate(texts):
                 lot.append(i)
                 size += len(t or "")
                 if size > 400_000 or i == len(texts) - 1:
                     found += sample(store, [texts[j] for j in lot], [keys[j] for j in lot], samples, seed)
                     lot, size = [], 0
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], _column(found)], names=[*batch.schema.names[:-2], "pieces"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], _column(found)], names=[*names, "pieces"])
 
-    kept = [f for f in docs.schema.fields if f.name != "pieces"]
-    wide = docs.select(*(F.col(f"`{f.name}`") for f in kept), F.col("text").cast("string").alias("__text"), F.coalesce(key.cast("string"), F.lit("null")).alias("__key"))
+    text = [F.col("text").cast("string").alias("__text")] if at == len(kept) else []
+    wide = docs.select(*(F.col(f"`{n}`") for n in names), *text, F.coalesce(key.cast("string"), F.lit("null")).alias("__key"))
     return wide.mapInArrow(run, StructType([*kept, StructField("pieces", _parse(SCHEMA))]))
 
 

@@ -37,7 +37,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def segmented(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sampled segmentations of each text: doc_id, source, n_chars, pieces."""
-    return sampled_pieces.sampled(spark, docs.select("doc_id", "source", "n_chars", "text"), tokenizer_path("piece_bpe_32k.model"), F.col("doc_id")).drop("text")
+    return sampled_pieces.sampled(spark, docs.select("doc_id", "source", "n_chars", "text"), tokenizer_path("piece_bpe_32k.model"), F.col("doc_id"), keep=["doc_id", "source", "n_chars"])
 
 
 STAGES = [("toxicity", clean_of_toxic), ("near_dedup", deduplicated), ("pii", pseudonymised), ("mixing", mixed), ("sampled_pieces", segmented)]
