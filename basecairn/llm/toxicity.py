@@ -145,7 +145,10 @@ def trained(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows: int =
     sample = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
     got = texts.select("text", "toxic").mapInArrow(_term_lists, "terms array<long>, toxic int").limit(2 * rows).toArrow()
-    lists = [np.asarray(x, np.int64) for x in got.column("terms").to_pylist()]
+    lists: list[np.ndarray] = []
+    for chunk in got.column("terms").chunks:  # views of the arrow values: Python integers would take five times their room
+        flat, ends = chunk.flatten().to_numpy(), chunk.offsets.to_numpy()
+        lists += np.split(flat, ends[1:-1] - ends[0]) if len(chunk) else []
     y = np.asarray(got.column("toxic").to_pylist(), float)
     order = sorted(range(len(lists)), key=lambda i: (lists[i].tobytes(), y[i]))  # whatever order the tasks ended in
     return fit([lists[i] for i in order], y[order])
