@@ -37,6 +37,8 @@ KINDS = {
     "token": r"\b[0-9a-f]{32,64}\b",
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
+#: Whatever any pattern of KINDS matches has one of these.
+HINT = "[0-9]|@|AKIA|[a-f]{32}"
 
 
 def _lit(s: str) -> str:
@@ -128,7 +130,7 @@ def pseudonymised(docs: DataFrame, key: str = KEY, inverse: bool = False) -> Dat
 
     With inverse, pseudonyms made under the key turn back into the originals.
     """
-    some = "text rlike '[0-9]{2}|@'"
+    some = f"text rlike {_lit(HINT)}"
     found = docs.withColumn("text", F.col("text").cast("string")).withColumn("__all", F.expr(f"case when {some} then {_pairs('text', key, inverse)} else array() end"))
     text = f"""case when size(__all) > 0 then concat_ws('', transform(split(text, {_lit(PATTERN)}, -1), (x, n) -> concat(x, if(n < size(__all), __all[n].now, '')))) else text end"""
     return found.withColumns({"text": F.expr(text), "pii": F.expr("filter(__all, x -> x.now <> x.was)")}).drop("__all")
