@@ -3,13 +3,17 @@
 Candidates are found by one pattern, validated (Luhn digit, octets, calendar) and replaced within their format by a
 keyed permutation, so equal values stay linked across documents and different values stay different:
 
-* card and account numbers (13-19 digits with a valid Luhn digit): all digits but the last are permuted, the last is computed;
+* card and account numbers (13-19 digits in whole groups, with a valid Luhn digit): all digits but the last are permuted, the last
+  is computed. In a run of digit groups numbers of one group go first, then the usual groupings of cards, then others from the left,
+  longer ones first; what is left of the run is searched for the other kinds;
 * phone numbers: all digits after the country code; US social security numbers: all nine digits;
 * IPv4 addresses: the 32 bits; dates (1800-2199, yyyy-mm-dd or d/m/yyyy): the day, within the 146,097 days of 400 years;
 * e-mail addresses: letters and digits of the local part; access keys and hex tokens: all characters after a fixed prefix.
 
 A Feistel round adds to one half, character by character modulo the alphabet, a SHA-512 of key, kind, round and the other
 half; any round is undone by subtracting, so ``reveal`` inverts ``pseudonym``. Nothing is shuffled, nothing leaves the row.
+Limit: a pseudonym in a run of digit groups may by chance give a valid number with its neighbours that goes before the right one;
+such a run is not inverted.
 
 Defined results: null text stays null, empty stays empty, what fails validation stays as it is; other columns are not touched.
 """
@@ -25,18 +29,23 @@ DIGITS, HEX, LOWER, ALNUM = "0123456789", "0123456789abcdef", "0123456789abcdefg
 UPPER = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 DAYS, SPAN = (189, 773), 146097  # 189 * 773 days
 
-#: kind -> pattern, the first that matches at a place counts.
+#: What follows a digit group that begins an address or a date.
+TAIL = r"(?:\.\d{1,3}){3}\b|/\d{1,2}/\d{4}\b|[A-Za-z0-9._%+-]{0,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+"
+#: kind -> pattern, the first that matches at a place counts. That of cards is a whole run of digit groups, which may hold several values.
 KINDS = {
     "email": r"[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+",
     "phone": r"\+\d{1,3} ?\(\d{3}\) ?\d{3}[- ]\d{4}\b|\+\d{1,3}[ -]\d{3}[ -]\d{3}[ -]\d{4}\b|\(\d{3}\) ?\d{3}-\d{4}\b|\b\d{3}-\d{3}-\d{4}\b",
     "ip": r"\b\d{1,3}(?:\.\d{1,3}){3}\b",
     "ssn": r"\b\d{3}-\d{2}-\d{4}\b",
     "date": r"\b\d{4}-\d{2}-\d{2}\b|\b\d{1,2}/\d{1,2}/\d{4}\b",
-    "card": r"\b\d(?:[ -]?\d){12,18}\b",
+    "card": r"\b(?=\d(?:[ -]?\d){12})\d++\b(?:[ -]\d++\b)*+" + f"(?:{TAIL})?",
     "key": r"\bAKIA[0-9A-Z]{16}\b",
     "token": r"\b[0-9a-f]{32,64}\b",
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
+OTHERS = "|".join(f"(?:{p})" for kind, p in KINDS.items() if kind != "card")
+#: Digits in the groups of usual card numbers.
+LAYOUTS = ("4,4,4,4", "4,6,5", "4,6,4", "4,4,4,4,3")
 #: Whatever any pattern of KINDS matches has one of these.
 HINT = "[0-9]|@|AKIA|[a-f]{32}"
 
@@ -115,14 +124,38 @@ def replaced(m: str, key: str = KEY, inverse: bool = False) -> str:
         when 'card' then {card} when 'key' then {access} when 'token' then {p(m, HEX, 'token')} else {m} end"""
 
 
-def _kind(m: str) -> str:
-    return "case " + " ".join(f"when {m} rlike {_lit('^(?:' + pattern + ')$')} then '{kind}'" for kind, pattern in KINDS.items()) + " end"
+def _kind(m: str, but: str = "") -> str:
+    return "case " + " ".join(f"when {m} rlike {_lit('^(?:' + pattern + ')$')} then '{kind}'" for kind, pattern in KINDS.items() if kind != but) + " end"
+
+
+def _numbers(groups: str) -> str:
+    """SQL: the card numbers among digit groups, in order: i (from 0), n groups, d (digits)."""
+    span = f"transform(sequence(1, least(19, size({groups}) - i)), n -> named_struct('i', i, 'n', n, 'd', array_join(slice({groups}, i + 1, n), '')))"
+    valid = f"flatten(transform({groups}, (g, i) -> filter({span}, s -> length(s.d) between 13 and 19 and {_luhn('s.d', 0)} % 10 = 0)))"
+    layout = f"array_join(transform(slice({groups}, v.i + 1, v.n), g -> string(length(g))), ',')"
+    rank = f"case when v.n = 1 then 0 when {layout} in ({', '.join(map(_lit, LAYOUTS))}) then 1 else 2 end"
+    ranked = f"array_sort(transform({valid}, v -> named_struct('rank', {rank}, 'i', v.i, 'less', -v.n, 'n', v.n, 'd', v.d)))"
+    step = "(a, c) -> if(exists(a, y -> c.i < y.i + y.n and y.i < c.i + c.n), a, array_append(a, named_struct('i', c.i, 'n', c.n, 'd', c.d)))"
+    return f"array_sort(aggregate({ranked}, cast(array() as array<struct<i: int, n: int, d: string>>), {step}))"
+
+
+def _parts(m: str) -> str:
+    """SQL: the kinds and values that a match m consists of; kind null for what stays."""
+    plain = lambda v: f"named_struct('kind', cast(null as string), 'was', {v})"
+    at = "length(array_join(slice(gs, 1, c.i), '')) + c.i + 1"
+    step = f"(a, c) -> {_bind('o', at, f"named_struct('p', o + length(c.d) + c.n - 1, 's', concat(a.s, array({plain(f'substr({m}, a.p, o - a.p)')}, named_struct('kind', 'card', 'was', substr({m}, o, length(c.d) + c.n - 1)))))")}"
+    cut = f"aggregate({_numbers('gs')}, named_struct('p', 1, 's', cast(array() as array<struct<kind: string, was: string>>)), {step}, a -> array_append(a.s, {plain(f'substr({m}, a.p)')}))"
+    groups = f"regexp_extract_all(regexp_extract({m}, {_lit(r'^\d++(?:[ -]\d++\b)*+')}, 0), {_lit(r'\d+')}, 0)"
+    between = f"flatten(transform(split(r.was, {_lit(OTHERS)}, -1), (x, n) -> if(n < size(os), array({plain('x')}, named_struct('kind', {_kind('os[n]', 'card')}, 'was', os[n])), array({plain('x')}))))"
+    rest = _bind("os", f"regexp_extract_all(r.was, {_lit(OTHERS)}, 0)", between)
+    run = f"flatten(transform({_bind('gs', groups, cut)}, r -> if(r.kind = 'card', array(r), {rest})))"
+    return f"transform(array({_kind(m)}), k -> if(k = 'card', {run}, array(named_struct('kind', k, 'was', {m}))))[0]"
 
 
 def _pairs(text: str, key: str, inverse: bool) -> str:
-    """SQL: for each match in text its kind, itself and what stands for it."""
-    one = replaced("m", key, inverse).replace("kind_of", "k")
-    return f"transform(regexp_extract_all({text}, {_lit(PATTERN)}, 0), m -> transform(array({_kind('m')}), k -> named_struct('kind', k, 'was', m, 'now', {one}))[0])"
+    """SQL: for each match in text what it consists of, each part with its kind, itself and what stands for it."""
+    one = replaced("w", key, inverse).replace("kind_of", "q.kind")
+    return f"transform(regexp_extract_all({text}, {_lit(PATTERN)}, 0), m -> transform({_parts('m')}, q -> transform(array(q.was), w -> named_struct('kind', q.kind, 'was', w, 'now', {one}))[0]))"
 
 
 def pseudonymised(docs: DataFrame, key: str = KEY, inverse: bool = False) -> DataFrame:
@@ -132,5 +165,5 @@ def pseudonymised(docs: DataFrame, key: str = KEY, inverse: bool = False) -> Dat
     """
     some = f"text rlike {_lit(HINT)}"
     found = docs.withColumn("text", F.col("text").cast("string")).withColumn("__all", F.expr(f"case when {some} then {_pairs('text', key, inverse)} else array() end"))
-    text = f"""case when size(__all) > 0 then concat_ws('', transform(split(text, {_lit(PATTERN)}, -1), (x, n) -> concat(x, if(n < size(__all), __all[n].now, '')))) else text end"""
-    return found.withColumns({"text": F.expr(text), "pii": F.expr("filter(__all, x -> x.now <> x.was)")}).drop("__all")
+    text = f"""case when size(__all) > 0 then concat_ws('', transform(split(text, {_lit(PATTERN)}, -1), (x, n) -> concat(x, if(n < size(__all), array_join(transform(__all[n], y -> y.now), ''), '')))) else text end"""
+    return found.withColumns({"text": F.expr(text), "pii": F.expr("filter(flatten(__all), x -> x.now <> x.was)")}).drop("__all")

@@ -112,6 +112,26 @@ def test_every_kind_alone_in_a_text_is_replaced(spark):
     assert all(v not in got[i].text for i, v in enumerate(alone))
 
 
+def test_cards_beside_other_digit_groups_are_replaced(spark):
+    card, spaced = "4348649190265535", "4348 6491 9026 5535"
+    rows = [
+        ("{} 12/26", [card]), ("{} 123", [card]), ("qty 2 {}", [card]), ("{} 12/26 123", [card]), ("{} 12/26", [spaced]), ("12 34 {} 123", [spaced]), ("12345 {} 1234567", [card]),
+        ("{} {}", [card, "8.8.8.8"]), ("{} {}", [card, "2024-02-29"]), ("{} {}", [card, "3/12/2024"]), ("{} {}", [card, "12.ab@x.example"]), ("5552 {}", ["123-45-6789"]), ("{} {} {}", [card, spaced, card]),
+        ("{} 12/26", [" ".join(card)]), ("4348649190265536 12", []), (" ".join(["7"] * 12), []), (" ".join(["17"] * 3000) + " {}", []),
+    ]
+    rows = [(i, t.format(*v) if v else t, v) for i, (t, v) in enumerate(rows)]
+    out = pii.pseudonymised(spark.createDataFrame([(i, t) for i, t, _ in rows[:-1]], "doc_id long, text string"))
+    got = {r.doc_id: r for r in out.collect()}
+    for i, t, values in rows[:-1]:
+        assert [p.was for p in got[i].pii] == values, t
+        assert len(got[i].text) >= len(t) - 8 and all(v not in got[i].text for v in values)
+    assert len({p.now.replace(" ", "") for r in got.values() for p in r.pii if p.kind == "card"}) == 1
+    back = {r.doc_id: r.text for r in pii.pseudonymised(out.drop("pii"), inverse=True).collect()}
+    assert all(back[i] == t for i, t, _ in rows[:5])
+    # a very long run ends
+    assert pii.pseudonymised(spark.createDataFrame([(0, rows[-1][1])], "doc_id long, text string")).select(F.length("text")).first()[0] == len(rows[-1][1])
+
+
 def test_day_permutation_is_one_to_one(spark):
     n = spark.range(pii.SPAN).select(F.expr(pii.permuted_day("id")).alias("d")).agg(F.countDistinct("d"), F.min("d"), F.max("d")).first()
     assert tuple(n) == (pii.SPAN, 0, pii.SPAN - 1)
