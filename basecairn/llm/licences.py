@@ -1,9 +1,11 @@
 """License scans by sentence rules, with DataFrame operations only.
 
-A text is cut into sentences (at line ends, and at . ! ? ; : before white space or the end), each is normalised (lower case, runs of
-characters other than letters and digits as one space, trimmed) and mapped to the identifier of a known licence sentence. The ordered
-identifiers are matched against ordered rules: a rule is a sequence of identifiers, the first rules are the most specific, and what a
-rule has matched no later rule sees again.
+A text is normalised: lower case, sentence ends (. ! ? ; : before white space or the end, and line ends) as one mark, runs of other characters than letters and digits as one space. A known licence sentence is found
+where it stands between marks; within it marks may stand where its notice has sentence ends of its own. At one
+place the longest sentence counts. The ordered identifiers are matched against ordered rules: a rule is a sequence of identifiers, the
+first rules are the most specific, and what a rule has matched no later rule sees again.
+
+The SQL knows SENTENCES and RULES only and cuts at every line break; on texts without wrapped or whole notices it gives the same.
 
 Defined results: null or empty text: no sentence, no licence (empty lists). A sentence that is repeated counts each time; a licence is
 listed once, in the order of the rules.
@@ -11,6 +13,8 @@ listed once, in the order of the rules.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,6 +57,29 @@ RULES = [
     (("mpl2",), "MPL-2.0"),
     (("allrights",), "All-Rights-Reserved"),
 ]
+#: More known sentences, in the notices' own spelling; some hold sentence ends.
+GPL = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"
+NOTICES = {
+    "gplfree": [GPL],
+    "gpl3later": [GPL + ", either version 3 of the License, or (at your option) any later version."],
+    "gpl2later": [GPL + "; either version 2 of the License, or (at your option) any later version."],
+    "gpl3this": [GPL + "; version 3.", GPL + "; version 3 of the License.", GPL + ", either version 3 of the License."],
+    "gpl2this": [GPL + "; version 2.", GPL + "; version 2 of the License.", GPL + ", either version 2 of the License."],
+    "mitgrant": [
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'
+    ],
+    "mpl2": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
+    "ccby4": ["This work is licensed under the Creative Commons Attribution 4.0 International License."],
+    "ccbysa4": ["This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License."],
+    "ccbync4": ["This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License."],
+}
+#: Rules for identifiers that only NOTICES has; they go first.
+NOTICE_RULES = [
+    (("gpl3later",), "GPL-3.0-or-later"),
+    (("gpl2later",), "GPL-2.0-or-later"),
+    (("gpl3this",), "GPL-3.0-only"),
+    (("gpl2this",), "GPL-2.0-only"),
+]
 ENDS = r"[.!?;:]+[\x20\x09-\x0D]+|[.!?;:]+$|[\x0A-\x0D]+"
 #: Every known sentence has one of these.
 HINT = "licen|rights|permitted|permission|redistribut|version"
@@ -62,19 +89,53 @@ def _known() -> dict[str, str]:
     return {s: k for k, many in SENTENCES.items() for s in many}
 
 
+#: Steps of normalising lower-case text: pattern, replacement. \x01 marks a sentence's end, \x02 a line's.
+STEPS = [
+    (r"[\x01\x02]", " "),
+    (r"\r\n", "\n"),
+    (r"[.!?;:]+(?:[\x20\x09-\x0D]+|$)|[\x0A-\x0D]+", "\x01"),
+    (r"[^a-z0-9\x01\x02]+", " "),
+    (r" ?\x02 ?", "\x02"),
+    (r"[ \x02]*\x01[ \x01\x02]*", "\x01"),
+]
+
+
+def _marked(text: str) -> str:
+    """A known sentence as the operator's own steps normalise it."""
+    text = text.lower()
+    for pattern, to in STEPS:
+        text = re.sub(pattern, to, text)
+    return text.strip(" \x01\x02")
+
+
+def _sentences() -> dict[str, str]:
+    """Plain text of each known sentence and its identifier."""
+    notices = {_marked(n).replace("\x01", " "): k for k, many in NOTICES.items() for n in many}
+    return _known() | notices
+
+
+def _pattern() -> str:
+    """Any known sentence between marks, the longest first."""
+    marked = {**{s: s for s in _known()}, **{(m := _marked(n)).replace("\x01", " "): m for many in NOTICES.values() for n in many}}
+    longest = sorted(marked.values(), key=lambda m: (-len(m), m))
+    return "(?<=[\x01\x02])(?:" + "|".join(m.replace("\x01", "[ \x01\x02]").replace(" ", "[ \x02]").replace("[[ \x02]\x01\x02]", "[ \x01\x02]") for m in longest) + ")(?=[\x01\x02])"
+
+
 def identifiers(text: Column) -> Column:
     """The ordered identifiers of the known sentences of a text."""
-    known = F.create_map(*[F.lit(x) for pair in _known().items() for x in pair])
+    known = F.create_map(*[F.lit(x) for pair in _sentences().items() for x in pair])
     lower = F.lower(text)
-    plain = lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))
-    likely = F.filter(F.split(lower, ENDS, -1), lambda s: s.rlike(HINT))
-    found = F.filter(F.transform(likely, lambda s: F.element_at(known, plain(s))), lambda x: x.isNotNull())
+    marked = lower
+    for pattern, to in STEPS:
+        marked = F.regexp_replace(marked, pattern, to)
+    framed = F.concat(F.lit("\x01"), F.trim(marked), F.lit("\x01"))
+    found = F.transform(F.regexp_extract_all(framed, F.lit(_pattern()), F.lit(0)), lambda s: F.element_at(known, F.translate(s, "\x01\x02", "  ")))
     return F.when(lower.rlike(HINT), found).otherwise(F.array().cast("array<string>"))
 
 
 def scanned(docs: DataFrame) -> DataFrame:
     """docs with sentence_ids and licences (arrays)."""
-    rules = F.array(*[F.struct(F.lit("," + ",".join(f"{i}" for i in ids) + ",").alias("p"), F.lit(name).alias("n")) for ids, name in RULES])
+    rules = F.array(*[F.struct(F.lit("," + ",".join(f"{i}" for i in ids) + ",").alias("p"), F.lit(name).alias("n")) for ids, name in NOTICE_RULES + RULES])
     text = F.col("text").cast("string")
     # every identifier stands between commas of its own, so that neighbours don't share one
     line = F.concat(F.lit(","), F.array_join("sentence_ids", ","), F.lit(","))

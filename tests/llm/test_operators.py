@@ -234,6 +234,65 @@ def test_licence_rules(spark):
     assert got == {1: ["Apache-2.0"], 2: ["GPL-3.0-or-later"], 3: [], 4: [], 5: ["MIT", "All-Rights-Reserved"], 6: []}
 
 
+MIT_GRANT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+GPL_HEADER = """/* This program is free software{0} you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation{1}{2}
+ *
+ * This program is distributed in the hope that it will be useful.
+ */"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions
+are met:
+
+1. Redistributions of source code must retain the above copyright
+   notice.
+"""
+BSD_NAME = """3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+"""
+CC = "This work is licensed under {}\nCreative Commons Attribution{} 4.0\nInternational License."
+NOTICE_TEXTS = [
+    (MIT_GRANT, ["MIT"]), ("MIT License\n\nCopyright (c) 2020 A B\n\n" + MIT_GRANT, ["MIT"]), ("The MIT License\n" + MIT_GRANT, ["MIT"]), ("Released under the\nMIT License.", ["MIT"]),
+    (GPL_HEADER.format(":", ", either version 3 of the License, or\n * (at your option) any later version.", ""), ["GPL-3.0-or-later"]),
+    (GPL_HEADER.format(";", "; either version 2 of the License, or\n * (at your option) any later version.", ""), ["GPL-2.0-or-later"]),
+    (GPL_HEADER.format(";", "; version 2\n * of the License.", ""), ["GPL-2.0-only"]), (GPL_HEADER.format(":", "; version 3.", ""), ["GPL-3.0-only"]),
+    (GPL_HEADER.format(":", ".", ""), ["GPL-any"]), (GPL_HEADER.format(":", ";", "\n * or (at your option) any later version."), ["GPL-any-or-later"]),
+    ("This work is licensed under the GNU General\nPublic License, version 3; or (at your option)\nany later version.", ["GPL-3.0-or-later"]),
+    ("Licensed under the GNU General Public License,\nversion 2; or (at your option) any later version.", ["GPL-2.0-or-later"]),
+    ("Licensed under the GNU General\r\nPublic License, version 3.", ["GPL-3.0-only"]), ("Licensed under the GNU General Public License,\nversion 2.", ["GPL-2.0-only"]),
+    (BSD, ["BSD-2-Clause"]), (BSD + BSD_NAME, ["BSD-3-Clause"]), (APACHE, ["Apache-2.0"]), ("Licensed under the Apache License,\nVersion 2.0.", ["Apache-2.0"]),
+    (CC.format("a", ""), ["CC-BY-4.0"]), (CC.format("the", "-ShareAlike"), ["CC-BY-SA-4.0"]), (CC.format("a", "-\nNonCommercial"), ["CC-BY-NC-4.0"]),
+    ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this", ["MPL-2.0"]),
+    ("All rights\nreserved.", ["All-Rights-Reserved"]), ("All rights.\nReserved.", []), ("All rights\n\nreserved.", []),
+]
+
+
+def licences_differ(spark, cases):
+    got = {r.doc_id: r.licences for r in licences.scanned(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")).collect()}
+    return [(t, got[i]) for i, (t, want) in enumerate(cases) if got[i] != want]
+
+
+def test_licences_of_standard_notices(spark):
+    flat = [("\n\n".join(" ".join(p.split()) for p in t.replace("\n *", "\n").replace("\r", "").split("\n\n")), want) for t, want in NOTICE_TEXTS if want and not t.startswith("The MIT License")]
+    assert licences_differ(spark, flat) == []
+    assert {x for _, want in NOTICE_TEXTS for x in want} == {name for _, name in licences.NOTICE_RULES + licences.RULES}
+
+
 def test_token_files_round_trip_and_lookup(spark):
     from tokenizers import Tokenizer
 
