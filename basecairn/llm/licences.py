@@ -1,7 +1,8 @@
 """License scans by sentence rules, with DataFrame operations only.
 
-A text is normalised: lower case, sentence ends (. ! ? ; : before white space or the end, and line ends) as one mark, runs of other characters than letters and digits as one space. A known licence sentence is found
-where it stands between marks; within it marks may stand where its notice has sentence ends of its own. At one
+A text is normalised: lower case, sentence ends (. ! ? ; : before white space or the end, and lines without letters or digits) as one
+mark, single line breaks as another, runs of other characters than letters and digits as one space. A known licence sentence is found
+where it stands between marks; within it any line may break, and marks may stand where its notice has sentence ends of its own. At one
 place the longest sentence counts. The ordered identifiers are matched against ordered rules: a rule is a sequence of identifiers, the
 first rules are the most specific, and what a rule has matched no later rule sees again.
 
@@ -93,7 +94,8 @@ def _known() -> dict[str, str]:
 STEPS = [
     (r"[\x01\x02]", " "),
     (r"\r\n", "\n"),
-    (r"[.!?;:]+(?:[\x20\x09-\x0D]+|$)|[\x0A-\x0D]+", "\x01"),
+    (r"[.!?;:]+(?:[\x20\x09-\x0D]+|$)|[\x0A-\x0D][^a-z0-9]*[\x0A-\x0D]", "\x01"),
+    (r"[\x0A-\x0D]", "\x02"),
     (r"[^a-z0-9\x01\x02]+", " "),
     (r" ?\x02 ?", "\x02"),
     (r"[ \x02]*\x01[ \x01\x02]*", "\x01"),

@@ -293,6 +293,10 @@ def test_licences_of_standard_notices(spark):
     assert {x for _, want in NOTICE_TEXTS for x in want} == {name for _, name in licences.NOTICE_RULES + licences.RULES}
 
 
+def test_licences_of_wrapped_notices(spark):
+    assert licences_differ(spark, NOTICE_TEXTS) == []
+
+
 def test_token_files_round_trip_and_lookup(spark):
     from tokenizers import Tokenizer
 
