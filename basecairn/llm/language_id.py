@@ -32,7 +32,10 @@ CELLS = 1 << 15
 TEMPER = 0.15
 STRENGTH = 5.0
 _DROP = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
-_LANG = re.compile(r"(?is)<html\b[^>]*?\slang\s*=\s*[\"']?([a-z]{2,3})")
+# comments and scripts, which are skipped, or the html tag; what isn't closed goes to the end
+_HTML = re.compile(r"(?is)<!--(?:-?>|.*?(?:--!?>|\Z))|<(script|style)\b.*?(?:</\1\s*>|\Z)|(?P<html><html(?=[\s/>]))")
+_ATTRIBUTE = re.compile(r"""(?s)[\s/]*([^\s/>=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
+_LANG = re.compile(r"(?i)[\s\"']*([a-z]{2,3})")
 
 
 def page_text(html: str | None) -> str:
@@ -40,8 +43,16 @@ def page_text(html: str | None) -> str:
 
 
 def declared_language(html: str | None) -> str:
-    found = _LANG.search((html or "")[:4096])
-    return found[1].lower() if found else ""
+    """The lang of the first html tag, wherever it stands; comments and scripts are skipped."""
+    html = html or ""
+    tag = next((m for m in _HTML.finditer(html) if m["html"]), None)
+    one = tag and _ATTRIBUTE.match(html, tag.end())
+    while one:
+        if one[1].lower() == "lang":
+            found = _LANG.match(one[2] or one[3] or one[4] or "")
+            return found[1].lower() if found else ""
+        one = _ATTRIBUTE.match(html, one.end())
+    return ""
 
 
 def cells(text: str) -> np.ndarray:

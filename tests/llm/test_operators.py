@@ -377,6 +377,16 @@ def test_languages_use_all_evidence(spark):
     assert {r.lang for r in none.collect()} == {"und"}
 
 
+def test_declared_language_is_found_anywhere():
+    said = language_id.declared_language
+    long = "x " * 5000
+    assert said(f"<!-- {long} <html lang='fr'> -->\n<html lang='de'>") == "de" and said(" " * 5000 + "<HTML\nLANG=En-US>") == "en"
+    assert said(f'<!doctype html><html data-a="{long}" data-b="a > b" lang="es">') == "es" and said("<html " + "data-a=b " * 2000 + "lang = 'it'>") == "it"
+    assert said(f"<script>'<html lang=fr>'{long}</script><html lang=nl>") == "nl" and said("<!--> <html lang=pt>") == "pt"
+    assert said("<html><p lang='de'><html lang='en'>") == "" and said("<html data-lang='de' xml:lang='de'>") == "" and said("<html5 lang=de>") == ""
+    assert said("<!-- <html lang='de'>") == "" and said("<html lang>") == "" and said("") == said(None) == ""
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as P
 
