@@ -31,6 +31,29 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return raw.drop("file_size").join(offsets, ["file", "at"]).select("file", (F.col("first") + F.col("mid") - F.col("m0")).alias("ln"), F.regexp_replace("value", "\r$", "").alias("value"), "terminated")
 
 
+def by_magic(spark: SparkSession, path: str | list[str]) -> tuple[list[str], list[str]]:
+    """The files of a path: those whose first bytes are gzip's, and all others. The driver reads two bytes of each."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    zipped, others = [], []
+    for r in spark.read.format("binaryFile").load(path).select("path").distinct().orderBy("path").collect():
+        at = jvm.org.apache.hadoop.fs.Path(r.path)
+        stream = at.getFileSystem(conf).open(at)
+        try:
+            (zipped if stream.read() == 0x1F and stream.read() == 0x8B else others).append(r.path)
+        finally:
+            stream.close()
+    return zipped, others
+
+
+def read_by_magic(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Lines as read_lines() of gzip files, known by their first bytes whatever their names, and of all other files."""
+    zipped, others = by_magic(spark, path)
+    if not zipped:
+        return read_lines(spark, others or path)
+    lines = read_gzip_by_magic(spark, zipped)
+    return lines.unionByName(read_lines(spark, others)) if others else lines
+
+
 def read_gzip_by_magic(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Lines as read_lines() of files whose first bytes are gzip's, whatever their names; concatenated members are one text."""
 
@@ -47,7 +70,7 @@ def read_gzip_by_magic(spark: SparkSession, path: str | list[str]) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows)), pa.array(range(n, n + len(rows)), pa.int64()), pa.array(rows, pa.binary()), pa.array([ended] * len(rows))], ["file", "ln", "value", "terminated"])
 
-    files = spark.read.format("binaryFile").load(path).where(F.substring("content", 1, 2) == F.unhex(F.lit("1F8B"))).select("path", "content")
+    files = spark.read.format("binaryFile").load(path).where(F.substring("content", 1, 2) == F.unhex(F.lit("1F8B"))).select(F.col("_metadata.file_path").alias("path"), "content")
     return files.mapInArrow(lines, "file string, ln long, value binary, terminated boolean").withColumn("value", F.col("value").cast("string"))
 
 
@@ -81,8 +104,8 @@ def assemble(lines: DataFrame, mode: str = "strict", block_records: int = BLOCK_
 
 
 def read_fastq(spark: SparkSession, path: str | list[str], mode: str = "strict", block_records: int = BLOCK_RECORDS, magic: bool = False) -> DataFrame:
-    """Records of FASTQ files; with magic, gzip files are known by their first bytes instead of .gz."""
-    return assemble(read_gzip_by_magic(spark, path) if magic else read_lines(spark, path), mode, block_records)
+    """Records of FASTQ files; with magic, gzip files are known by their first bytes as well as by .gz."""
+    return assemble(read_by_magic(spark, path) if magic else read_lines(spark, path), mode, block_records)
 
 
 def write_fastq(reads: DataFrame, path: str, partitions: int | None = None) -> None:

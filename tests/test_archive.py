@@ -110,6 +110,26 @@ def test_empty_input(spark, tmp_path):
     assert (tmp_path / "a.fqz").stat().st_size == 10 and archive.check(spark, str(tmp_path / "a.fqz")) == 0
 
 
+def test_magic_reads_plain_files_too(spark, tmp_path):
+    from basecairn.cli import main
+
+    plain, zipped = random_records(12, 5), random_records(9, 6)
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.fq").write_text(text(plain))
+    (folder / "b.bin").write_bytes(gzip.compress(text(zipped).encode()))
+    (folder / "c.fq.gz").write_bytes(gzip.compress(text(zipped).encode()))
+    (folder / "d.fq").write_text("")
+    assert rows(fastq.read_fastq(spark, str(folder / "a.fq"), magic=True)) == plain
+    mixed = fastq.read_fastq(spark, str(folder), magic=True)
+    names = {"a.fq": plain, "b.bin": zipped, "c.fq.gz": zipped}
+    assert mixed.count() == 30 and all(rows(mixed.where(mixed.file.endswith("/" + n))) == want for n, want in names.items())
+    assert main(["compress", str(folder / "a.fq"), str(tmp_path / "a.fqz"), "--magic"]) == 0
+    assert rows(archive.read_container(spark, str(tmp_path / "a.fqz"))) == plain
+    archive.compress(spark, str(folder / "d.fq"), str(tmp_path / "d.fqz"), magic=True)
+    assert archive.check(spark, str(tmp_path / "d.fqz")) == 0
+
+
 def test_stream_ingestion(spark, tmp_path):
     from basecairn.streaming.incremental import ingest
 
