@@ -21,29 +21,42 @@ def detect_offset(reads: DataFrame) -> int:
     return low.o if low else PHRED33
 
 
+def file_offsets(reads: DataFrame) -> DataFrame:
+    """file and the quality offset of each file's first records."""
+    return reads.where(F.col("record_idx") < DETECT_RECORDS).groupBy("file").agg(F.min(R.lowest_code(F.col("quality"))).alias("low")).select("file", R.phred_offset(F.col("low")).alias("phred_offset"))
+
+
 def block_stats(reads: DataFrame) -> DataFrame:
     return reads.groupBy("block_idx").agg(F.count("*").alias("num_records"), F.sum(F.octet_length("sequence")).alias("orig_seq_size"), F.sum(F.octet_length("quality")).alias("orig_qual_size"))
 
 
-def encode(reads: DataFrame, offset: int, level: int = 1) -> DataFrame:
-    """block_idx, num_records and the six compressed streams: one shuffle on block_idx, one Arrow kernel for each block."""
+def encode(reads: DataFrame, offset: int | None = None, level: int = 1) -> DataFrame:
+    """file, block_idx, num_records and the six compressed streams: one shuffle on both, one Arrow kernel for each block of a file.
+
+    Without an offset each file's own is detected."""
     ship(reads.sparkSession)
+    if "file" not in reads.columns:
+        reads = reads.withColumn("file", F.lit(""))
+    reads = reads.join(file_offsets(reads), "file", "left").fillna(PHRED33, ["phred_offset"]) if offset is None else reads.withColumn("phred_offset", F.lit(offset).cast("int"))
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("record_idx")
         cols = [table.column(c).cast(pa.binary()).to_pylist() for c in ("header", "sequence", "plus", "quality")]
+        offset = table.column("phred_offset")[0].as_py()
         raw = kernels.streams(*cols, offset)
-        out = {"block_idx": [table.column("block_idx")[0].as_py()], "num_records": [table.num_rows]}
+        out = {"file": [table.column("file")[0].as_py()], "block_idx": [table.column("block_idx")[0].as_py()], "num_records": [table.num_rows]}
         out |= {f"{k}_data": [kernels.compressed(v, level)] for k, v in raw.items()}
         return pa.table(out | {"orig_seq_size": [sum(map(len, cols[1]))], "orig_qual_size": [sum(map(len, cols[3]))], "phred_offset": pa.array([offset], pa.int32())})
 
     streams = ", ".join(f"{k}_data binary" for k in kernels.ORDER[2])
-    return reads.select("block_idx", "record_idx", "header", "sequence", "plus", "quality").groupBy("block_idx").applyInArrow(run, f"block_idx long, num_records long, {streams}, orig_seq_size long, orig_qual_size long, phred_offset int")
+    return reads.select("file", "block_idx", "record_idx", "header", "sequence", "plus", "quality", "phred_offset").groupBy("file", "block_idx").applyInArrow(run, f"file string, block_idx long, num_records long, {streams}, orig_seq_size long, orig_qual_size long, phred_offset int")
 
 
 def decode(blocks: DataFrame, block_records: int = BLOCK_RECORDS) -> DataFrame:
-    """Records of encoded blocks, without a shuffle."""
+    """Records of encoded blocks with their file, without a shuffle."""
     ship(blocks.sparkSession)
+    if "file" not in blocks.columns:
+        blocks = blocks.withColumn("file", F.lit(""))
     names = kernels.ORDER[2]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,16 +65,15 @@ def decode(blocks: DataFrame, block_records: int = BLOCK_RECORDS) -> DataFrame:
                 raw = {k: kernels.decompressed(row[f"{k}_data"], k) for k in names}
                 cols = kernels.block_records(raw, row["num_records"], row["phred_offset"])
                 n, first = row["num_records"], row["block_idx"] * block_records
-                yield pa.RecordBatch.from_arrays([pa.array([row["block_idx"]] * n, pa.int64()), pa.array(range(first, first + n), pa.int64()), *(pa.array(c, pa.binary()) for c in cols)], ["block_idx", "record_idx", "header", "sequence", "plus", "quality"])
+                yield pa.RecordBatch.from_arrays([pa.array([row["file"]] * n, pa.string()), pa.array([row["block_idx"]] * n, pa.int64()), pa.array(range(first, first + n), pa.int64()), *(pa.array(c, pa.binary()) for c in cols)], ["file", "block_idx", "record_idx", "header", "sequence", "plus", "quality"])
 
-    out = blocks.select("block_idx", "num_records", *(f"{k}_data" for k in names), "phred_offset").mapInArrow(run, "block_idx long, record_idx long, header binary, sequence binary, plus binary, quality binary")
+    out = blocks.select("file", "block_idx", "num_records", *(f"{k}_data" for k in names), "phred_offset").mapInArrow(run, "file string, block_idx long, record_idx long, header binary, sequence binary, plus binary, quality binary")
     return out.withColumns({c: F.col(c).cast("string") for c in ("header", "sequence", "plus", "quality")})
 
 
 def write_archive(reads: DataFrame, path: str, offset: int | None = None) -> None:
-    """The native archive: Parquet with zstd, a row for each block, block order kept in the files."""
-    offset = detect_offset(reads) if offset is None else offset
-    encode(reads, offset).repartitionByRange(F.col("block_idx")).sortWithinPartitions("block_idx").write.option("compression", "zstd").parquet(path)
+    """The native archive: Parquet with zstd, a row for each block of a file, block order kept in the files."""
+    encode(reads, offset).repartitionByRange(F.col("file"), F.col("block_idx")).sortWithinPartitions("file", "block_idx").write.option("compression", "zstd").parquet(path)
 
 
 def read_archive(spark: SparkSession, path: str, block_records: int = BLOCK_RECORDS) -> DataFrame:

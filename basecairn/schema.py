@@ -15,7 +15,7 @@ STREAMS = ("sequence", "quality", "header", "plus", "npos", "lengths")
 
 READS = StructType([StructField("file", StringType()), StructField("record_idx", LongType()), StructField("header", StringType()), StructField("sequence", StringType()), StructField("plus", StringType()), StructField("quality", StringType())])
 BLOCKS = StructType(
-    [StructField("block_idx", LongType()), StructField("num_records", LongType())]
+    [StructField("file", StringType()), StructField("block_idx", LongType()), StructField("num_records", LongType())]
     + [StructField(f"{s}_data", BinaryType()) for s in STREAMS]
     + [StructField("orig_seq_size", LongType()), StructField("orig_qual_size", LongType()), StructField("phred_offset", IntegerType())]
 )

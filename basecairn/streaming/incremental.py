@@ -17,6 +17,6 @@ def ingest(spark: SparkSession, folder: str, target: str, checkpoint: str, block
         paths = [r.path for r in batch.distinct().collect()]  # names of this batch's files
         if paths:
             reads = fastq.read_fastq(batch.sparkSession, paths, block_records=block_records)
-            archive.encode(reads, archive.detect_offset(reads)).write.mode("overwrite").option("compression", "zstd").parquet(f"{target}/batch={number}")
+            archive.encode(reads).write.mode("overwrite").option("compression", "zstd").parquet(f"{target}/batch={number}")
 
     return files.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

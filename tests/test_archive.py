@@ -138,3 +138,19 @@ def test_stream_ingestion(spark, tmp_path):
     q = ingest(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp"), block_records=5)
     q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).agg({"num_records": "sum"}).first()[0] == 12
+
+
+def test_stream_ingestion_keeps_files_apart(spark, tmp_path):
+    from basecairn.streaming.incremental import ingest
+
+    files = {"a.fq": random_records(12, 7), "b.fq": [(h, s, p, "h" * len(s)) for h, s, p, _ in random_records(8, 8)]}
+    (tmp_path / "in").mkdir()
+    for name, records in files.items():
+        (tmp_path / "in" / name).write_text(text(records))
+    ingest(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp"), block_records=5).awaitTermination(120)
+    assert [p.name for p in (tmp_path / "out").iterdir() if p.is_dir() and p.name.startswith("batch")] == ["batch=0"]
+    blocks = spark.read.parquet(str(tmp_path / "out"))
+    got = sorted((r.file.rsplit("/", 1)[1], r.block_idx, r.num_records, r.phred_offset) for r in blocks.collect())
+    assert got == [("a.fq", 0, 5, 33), ("a.fq", 1, 5, 33), ("a.fq", 2, 2, 33), ("b.fq", 0, 5, 64), ("b.fq", 1, 3, 64)]
+    decoded = archive.read_archive(spark, str(tmp_path / "out"), 5)
+    assert all(rows(decoded.where(decoded.file.endswith("/" + name))) == records for name, records in files.items())
