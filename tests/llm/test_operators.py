@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from basecairn.llm import imatch, language_id, licences, mixing, near_dedup, pii, rp_forest, sampled_pieces, token_files, toxicity
+from basecairn.llm import imatch, language_id, licences, mixing, near_dedup, pii, queries, rp_forest, sampled_pieces, token_files, toxicity
 from basecairn.llm.common import new_path
 from basecairn.llm.queries import tokenizer_path
 
@@ -228,6 +228,14 @@ def test_samples_in_spark(spark):
     assert {len(r.pieces) for r in out if r.text is None} == {0}
 
 
+def test_sampled_query_keeps_every_document(spark, tmp_path):
+    docs(spark, [(1, "one two three", "a"), (2, None, "a"), (3, "", "b"), (None, None, None)]).write.parquet(str(tmp_path / "documents.parquet"))
+    out = queries.sampled_segmentations(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in out} == {1, 2, 3, None}
+    none = [r for r in out if r.doc_id in (2, None)]
+    assert len(none) == 2 and all(x is None for r in none for x in r[1:]) and all(r.decoded for r in out if r.doc_id in (1, 3))
+
+
 def test_licence_rules(spark):
     rows = [(1, "x.\nLicensed under the Apache License, Version 2.0."), (2, "This work is licensed under the GNU General Public License, version 3; or (at your option) any later version."), (3, None), (4, ""), (5, "Released under the MIT License.\nAll rights reserved.\nAll rights reserved."), (6, "unlicensed")]
     got = {r.doc_id: r.licences for r in licences.scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
