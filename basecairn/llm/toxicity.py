@@ -5,10 +5,13 @@ so a pair of terms can count for more, or less, than both alone.
 
 The model is fitted on the driver on at most ``TRAIN_ROWS`` labelled rows (the least hashes of doc_id), as a bounded
 sample; terms are kept if their log-likelihood ratio against the label is at least ``LEAST_RATIO``, at most ``MOST_TERMS``.
+They are counted and chosen by a grouped aggregate; the driver gets the chosen terms and each row's places among them.
 The fitted model has a bounded size and goes to the tasks; scoring is one pass over the texts without a shuffle.
 
-Defined results: null or empty text: scored as a text without terms. No labelled row: every score is 0.
-Rows with one label only: the smoothed share of toxic rows. Null labels are left out; repeated labels of one doc_id: toxic if any is.
+Defined results: null or empty text: scored as a text without terms. No labelled row or no document: every score is 0.
+Rows with one label only: the smoothed share of toxic rows. Null labels are left out; repeated labels of one doc_id: toxic if any is;
+several texts of one doc_id: the model sees the one with the least hash, each row is scored. Ties of the ratio: the smaller term.
+Whole texts count, however long. A column toxic_score that docs has already is replaced, other columns are not touched.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import drop, prepare, written
 
 TRAIN_ROWS = 8000
 LEAST_RATIO = 15.0
@@ -75,34 +78,19 @@ class FactorizationMachine:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, factors: int = FACTORS, epochs: int = 30, rate: float = 0.1, decay: float = 1e-3, least: float = LEAST_RATIO) -> FactorizationMachine:
-    """A machine from each row's hashed terms and 0/1 labels; the same rows give the same machine."""
+def fit(rows: list[np.ndarray], labels: np.ndarray, terms: np.ndarray, factors: int = FACTORS, epochs: int = 30, rate: float = 0.1, decay: float = 1e-3) -> FactorizationMachine:
+    """A machine over ``terms`` from each row's places among them and 0/1 labels; the same rows give the same machine."""
     n, k = len(rows), int(labels.sum())
     if not n:
         return FactorizationMachine(np.empty(0, np.int64), -30.0, np.empty(0), np.empty((0, factors)))
     prior = (k + 1) / (n + 2)
-    flat, row = np.concatenate(rows) if rows else np.empty(0, np.int64), np.repeat(np.arange(n), [len(r) for r in rows])
-    terms, at = np.unique(flat, return_inverse=True)
-    both = np.bincount(at, minlength=len(terms))
-    toxic = np.bincount(at, weights=labels[row], minlength=len(terms))
-    if not 0 < k < n or not len(terms):
+    col, row = np.concatenate(rows).astype(np.int64), np.repeat(np.arange(n), [len(r) for r in rows])
+    if not 0 < k < n or not len(col):
         return FactorizationMachine(np.empty(0, np.int64), float(np.log(prior / (1 - prior))), np.empty(0), np.empty((0, factors)))
-
-    def part(a: np.ndarray, expected: np.ndarray) -> np.ndarray:
-        return np.where(a > 0, a * np.log(np.maximum(a, 1e-12) / expected), 0)
-
-    share, rest = k / n, n - both
-    ratio = 2 * (part(toxic, both * share) + part(both - toxic, both * (1 - share)) + part(k - toxic, np.maximum(rest, 1e-9) * share) + part(n - k - both + toxic, np.maximum(rest, 1e-9) * (1 - share)))
-    keep = np.flatnonzero((both >= 3) & (ratio >= least))
-    keep = np.sort(keep[np.argsort(-ratio[keep], kind="stable")[:MOST_TERMS]])
-    place = np.full(len(terms), -1)
-    place[keep] = np.arange(len(keep))
-    use = place[at] >= 0
-    col, row = place[at][use], row[use]
     starts = np.searchsorted(row, np.arange(n + 1))
     rng = np.random.default_rng(7)
-    w, v, bias = np.zeros(len(keep)), rng.normal(0, 0.05, (len(keep), factors)), float(np.log(prior / (1 - prior)))
-    gw, gv, gb = np.full(len(keep), 1e-6), np.full(v.shape, 1e-6), 1e-6
+    w, v, bias = np.zeros(len(terms)), rng.normal(0, 0.05, (len(terms), factors)), float(np.log(prior / (1 - prior)))
+    gw, gv, gb = np.full(len(terms), 1e-6), np.full(v.shape, 1e-6), 1e-6
     for _ in range(epochs):
         order = rng.permutation(n)
         for lot in np.array_split(order, max(1, n // 64)):
@@ -124,7 +112,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, factors: int = FACTORS, epoc
             gv[touched] += dv**2
             w[touched] -= rate * dw / np.sqrt(gw[touched])
             v[touched] -= rate * dv / np.sqrt(gv[touched])
-    return FactorizationMachine(terms[keep], bias, w, v)
+    return FactorizationMachine(terms, bias, w, v)
 
 
 def _term_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,6 +122,23 @@ def _term_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(lists, pa.list_(pa.int64())), batch.column(1)], names=["terms", "toxic"])
 
 
+def chosen(lists: DataFrame, n: int, k: int, least: float = LEAST_RATIO, most: int = MOST_TERMS) -> np.ndarray:
+    """The terms of ``lists`` (terms, toxic; n rows, k of them toxic) that stand in at least 3 rows and whose log-likelihood ratio
+    against the label is at least ``least``, the ``most`` largest: counted by a grouped aggregate, only the chosen ones come to the driver."""
+    if not 0 < k < n:
+        return np.empty(0, np.int64)
+    counts = lists.select(F.explode("terms").alias("term"), "toxic").groupBy("term").agg(F.count("*").alias("rows"), F.sum("toxic").alias("bad")).where("rows >= 3")
+    rows, bad, share = F.col("rows"), F.col("bad"), k / n
+    rest = F.greatest(F.lit(n) - rows, F.lit(1e-9))
+
+    def part(a: Column, expected: Column) -> Column:
+        return F.when(a > 0, a * F.log(a / expected)).otherwise(0.0)
+
+    ratio = 2 * (part(bad, rows * share) + part(rows - bad, rows * (1 - share)) + part(k - bad, rest * share) + part(n - k - rows + bad, rest * (1 - share)))
+    top = counts.withColumn("ratio", ratio).where(F.col("ratio") >= least).orderBy(F.col("ratio").desc(), "term").limit(most)
+    return np.array(sorted(r.term for r in top.select("term").collect()), np.int64)
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
@@ -143,15 +148,29 @@ def trained(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows: int =
     prepare(spark)
     marks = labels.where("toxic is not null and doc_id is not null").where(~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     sample = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
-    got = texts.select("text", "toxic").mapInArrow(_term_lists, "terms array<long>, toxic int").limit(2 * rows).toArrow()
-    lists: list[np.ndarray] = []
-    for chunk in got.column("terms").chunks:  # views of the arrow values: Python integers would take five times their room
-        flat, ends = chunk.flatten().to_numpy(), chunk.offsets.to_numpy()
-        lists += np.split(flat, ends[1:-1] - ends[0]) if len(chunk) else []
+    text = F.col("text").cast("string")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(F.xxhash64(text).alias("h"), text.alias("text")).alias("t")).join(F.broadcast(sample), "doc_id")
+    one = texts.groupBy("doc_id").agg(F.min("t").alias("t"), F.first("toxic").alias("toxic")).select("t.text", "toxic")
+    lists, at = written(spark, one.mapInArrow(_term_lists, "terms array<long>, toxic int"), "terms")
+    n, k = lists.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    terms = chosen(lists, n, k)
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(0)
+            flat = column.flatten().to_numpy()
+            to = np.minimum(np.searchsorted(terms, flat), max(0, len(terms) - 1))
+            known = terms[to] == flat if len(terms) else np.zeros(len(flat), bool)
+            ends = np.concatenate([[0], np.cumsum(known)])[column.offsets.to_numpy() - column.offsets[0].as_py()].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends), pa.array(to[known].astype(np.int16))), batch.column(1)], names=["places", "toxic"])
+
+    # of at most ``rows`` rows the places among the chosen terms, 2 bytes each
+    got = lists.mapInArrow(places, "places array<short>, toxic int").toArrow()
+    drop(spark, at)
+    found = [np.array(x, np.int16) for x in got.column("places").to_pylist()]
     y = np.asarray(got.column("toxic").to_pylist(), float)
-    order = sorted(range(len(lists)), key=lambda i: (lists[i].tobytes(), y[i]))  # whatever order the tasks ended in
-    return fit([lists[i] for i in order], y[order])
+    order = sorted(range(len(found)), key=lambda i: (found[i].tobytes(), y[i]))  # whatever order the tasks ended in
+    return fit([found[i] for i in order], y[order], terms)
 
 
 def scored(spark: SparkSession, docs: DataFrame, model: FactorizationMachine) -> DataFrame:
