@@ -11,22 +11,22 @@ the largest Gumbel-perturbed log probabilities, largest first:
   exact conditional probabilities); every step of that descent opens a region for its untaken edges, whose maximum is a
   Gumbel of the region's log mass truncated at the path's own value.
 
-Places that every path passes (a space mark after another character, a character that only byte pieces spell) cut the
-lattice, so all parts of a batch of texts descend together in numpy. Random numbers are hashes of (seed, row key, sample,
-part, step): they depend neither on batches nor on partitions.
+Places that every path passes cut the lattice: those between two characters that stand side by side in no piece, and around a
+character that only byte pieces spell. So all parts of a batch of texts descend together in numpy, and the lattice of a part is
+built once and remembered. Random numbers are hashes of (seed, row key, sample, part, step): they depend neither on batches nor on partitions.
 
 Each sample has log_p, perturbed (its Gumbel value) and inclusion: the probability to be among the samples given the
 next value, kappa: 1 - exp(-exp(log_p - kappa)); 1 if there is no further segmentation.
 
 Defined results: null text: no samples (empty array). Empty text: one empty segmentation. Fewer than k segmentations: all.
-Equal rows get equal samples. Null key: keyed as "null".
+Equal rows get equal samples. Null key: keyed as "null". Whole texts are segmented, however long. No documents: no rows. Ties of
+perturbed values: the first region in the text. A column pieces that docs has already is replaced, other columns are not touched.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
-from itertools import chain as chained
 
 import numpy as np
 import pyarrow as pa
@@ -80,10 +80,17 @@ class Lattices:
         self.byte_id = {int(self.pieces[i][3:5], 16): i for i in range(len(self.pieces)) if sp.is_byte(i)}
         self.bytes_of = [bytes([int(p[3:5], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) or sp.is_unknown(i) else p.replace(MARK, " ").encode() for i, p in enumerate(self.pieces)]
         self.longest = max(len(self.pieces[i]) for i in usable)
-        self.chars = {c for i in usable for c in self.pieces[i]}
         self.single = {self.pieces[i] for i in usable if len(self.pieces[i]) == 1}
-        # a mark that follows another character is only ever the start of a piece
-        assert not any(re.search(f"[^{MARK}]{MARK}", self.pieces[i]) for i in usable)
+        self.column = pa.array(self.bytes_of, pa.large_binary())
+        # characters by number (0: in no piece), and which two stand side by side in a piece
+        chars = sorted({c for i in usable for c in self.pieces[i]})
+        self.number = np.zeros(0x110000, np.int16)
+        self.number[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        self.beside = np.zeros((len(chars) + 1,) * 2, bool)
+        for i in usable:
+            of = self.number[np.frombuffer(self.pieces[i].encode("utf-32-le"), np.uint32)]
+            self.beside[of[:-1], of[1:]] = True
+        assert not any(re.search(f"[^{MARK}]{MARK}", self.pieces[i]) for i in usable)  # a mark after another character starts a piece
         hashes = []
         for i in usable:
             codes = np.frombuffer(self.pieces[i].encode("utf-32-le"), np.uint32)[None, :]
@@ -99,12 +106,22 @@ class Lattices:
         with np.errstate(over="ignore"):
             for i in range(self.longest):
                 self.powers[i + 1] = self.powers[i] * _B
-        # parts: runs of marks with what follows up to the next mark; a character that no single piece spells is a part alone
-        known = "".join(re.escape(c) for c in sorted(self.single - {MARK}))
-        self.split = re.compile(f"{MARK}*[{known}]+|{MARK}+|.", re.S)
 
-    def parts(self, text: str) -> list[str]:
-        return self.split.findall(MARK + text.replace(" ", MARK)) if text else []
+    def parts(self, texts: list[str | None]) -> tuple[pa.DictionaryArray, np.ndarray]:
+        """The parts of all texts one after another, and how many each text has."""
+        marked = [MARK + t.replace(" ", MARK) if t else "" for t in texts]
+        raw = "".join(marked).encode()
+        sizes = np.fromiter(map(len, marked), np.int64, len(marked))
+        ends = np.cumsum(sizes)
+        number = self.number[np.frombuffer(raw.decode().encode("utf-32-le"), np.uint32)]
+        cut = np.ones(len(number) + 1, bool)
+        cut[1:-1] = ~self.beside[number[:-1], number[1:]]
+        cut[(ends - sizes)[sizes > 0]] = True
+        starts = np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)
+        places = np.append(starts, len(raw))[cut] if len(raw) else np.zeros(1, np.int64)
+        all_ = pa.LargeStringArray.from_buffers(len(places) - 1, pa.py_buffer(places.astype(np.int64)), pa.py_buffer(raw))
+        before = np.concatenate([[0], np.cumsum(cut[:-1])]) if len(raw) else np.zeros(1, np.int64)
+        return all_.dictionary_encode(), before[ends] - before[ends - sizes]
 
     def edges(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The edges of parts of about one width in order of part, place and falling length: part, place, length, piece id, probability given the place."""
@@ -148,24 +165,58 @@ class Lattices:
         return part, place, n + 1, ids[part, place, n], weight[part, place, n]
 
 
+def _room(column: np.ndarray, size: int) -> np.ndarray:
+    """column, or a longer copy if it has fewer than size places."""
+    return column if len(column) >= size else np.concatenate([column, np.zeros(max(size - len(column), len(column) // 2), column.dtype)])
+
+
 class Store:
     """The lattices of remembered parts: nodes numbered through, the edges of node x from edge[x] to edge[x + 1].
-    Parts that only byte pieces spell have no lattice; their places are negative, -1 - place being their number in ``spelling``."""
+    Parts that only byte pieces spell have no lattice; their places are negative, -1 - place being their number in ``spelling``.
+    When it is full, parts that were used once since the last time are forgotten."""
 
-    most = 200_000
+    most = 100_000
 
     def __init__(self, lattices: Lattices):
         self.lattices = lattices
-        self.clear()
-
-    def clear(self) -> None:
         self.place: dict[str, int] = {}
         self.count, self.spelling = 0, []
-        self.base, self.length = np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int32)
+        self.base, self.length, self.uses = (np.zeros(1 << 12, np.int32) for _ in range(3))
         self.edge = np.zeros(1 << 14, np.int32)
         self.nodes = self.used = 0
         self.columns = {"cum": np.zeros(1 << 16, np.float32), "p": np.zeros(1 << 16, np.float32), "id": np.zeros(1 << 16, np.int32), "n": np.zeros(1 << 16, np.int8)}
 
+    def places(self, parts: list[str]) -> np.ndarray:
+        """The places of distinct parts."""
+        if self.count > self.most:
+            self._forget()
+        known = self.place
+        self.add([p for p in parts if p not in known])
+        out = np.fromiter(map(known.__getitem__, parts), np.int64, len(parts))
+        self.uses[out[out >= 0]] += 1
+        return out
+
+    def _forget(self) -> None:
+        uses = self.uses[: self.count]
+        kept = np.flatnonzero(uses > 1)
+        if len(kept) > self.most // 2:
+            kept = np.sort(np.argsort(-uses, kind="stable")[: self.most // 2])
+        to = np.full(self.count, -1)
+        to[kept] = np.arange(len(kept))
+        for p in [p for p, at in self.place.items() if at >= 0 and to[at] < 0]:
+            del self.place[p]
+        self.place.update([(p, int(to[at])) for p, at in self.place.items() if at >= 0])
+        sizes = self.length[kept].astype(np.int64)
+        starts = np.cumsum(sizes) - sizes
+        nodes = np.repeat(self.base[kept] - starts, sizes) + np.arange(int(sizes.sum()))
+        many = (self.edge[nodes + 1] - self.edge[nodes]).astype(np.int64)
+        first = np.cumsum(many) - many
+        edges = np.repeat(self.edge[nodes] - first, many) + np.arange(int(many.sum()))
+        self.columns = {k: c[edges] for k, c in self.columns.items()}
+        self.edge = np.append(first, len(edges)).astype(np.int32)
+        self.base, self.length, self.uses = starts.astype(np.int32), sizes.astype(np.int32), np.ones(len(kept), np.int32)
+        self.count, self.nodes, self.used = len(kept), len(nodes), len(edges)
+
     def add(self, parts: list[str]) -> None:
         """Remembers parts that it does not hold yet."""
         for p in parts:
@@ -176,8 +227,8 @@ class Store:
         start = self.count
         self.place.update(zip(parts, range(start, start + len(parts))))
         self.count += len(parts)
-        while len(self.base) < self.count:
-            self.base, self.length = np.concatenate([self.base, self.base * 0]), np.concatenate([self.length, self.length * 0])
+        self.base, self.length, self.uses = (_room(c, self.count) for c in (self.base, self.length, self.uses))
+        self.uses[start : self.count] = 0
         sizes = np.array([len(p) for p in parts])
         low, high = 0, 4
         while low < int(sizes.max(initial=0)):
@@ -200,33 +251,21 @@ class Store:
         cum = run - np.where(start > 0, run[np.maximum(start - 1, 0)], 0.0)[node]
         last = ends[many > 0] - 1
         cum[last] = 2.0  # the last edge takes the rest
-        while len(self.edge) < self.nodes + 1:
-            self.edge = np.concatenate([self.edge, self.edge * 0])
+        self.edge = _room(self.edge, self.nodes + 1)
         self.edge[base[0] : self.nodes] = self.used + start
         self.edge[self.nodes] = self.used + len(p)
         end = self.used + len(p)
-        while len(self.columns["p"]) < end:
-            self.columns = {k: np.concatenate([c, np.zeros_like(c)]) for k, c in self.columns.items()}
+        self.columns = {k: _room(c, end) for k, c in self.columns.items()}
         for k, c in (("cum", cum), ("p", p), ("id", ids), ("n", n)):
             self.columns[k][self.used : end] = c
         self.used = end
 
 
-def _decoded(lattices: Lattices, ids: list[int]) -> bytes:
-    out = b"".join(map(lattices.bytes_of.__getitem__, ids))
-    return out[1:] if out[:1] == b" " else out
-
-
 def sample(store: Store, texts: list[str | None], keys: list[str], samples: int = SAMPLES, seed: int = 0) -> list[list[tuple]]:
     """For each text up to ``samples`` distinct segmentations: (ids, log_p, perturbed, inclusion, decoded), the largest value first."""
-    lattices = store.lattices
-    split = [lattices.parts(t) if t else [] for t in texts]
-    if len(store.place) > store.most:
-        store.clear()
-    store.add(sorted(set().union(*split).difference(store.place)))
-    spelling, n_rows = store.spelling, len(texts)
-    counts = np.array([len(r) for r in split], np.int64)
-    parts = np.fromiter(map(store.place.__getitem__, chained.from_iterable(split)), np.int64, int(counts.sum()))
+    lattices, n_rows = store.lattices, len(texts)
+    coded, counts = lattices.parts(texts)
+    parts = store.places(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
     first = np.concatenate([[0], np.cumsum(counts)])
     owner = np.repeat(np.arange(n_rows), counts)
     row_key = np.array([xxhash.xxh3_64_intdigest(str(k), seed=seed) for k in keys], np.uint64)
@@ -290,75 +329,106 @@ def sample(store: Store, texts: list[str | None], keys: list[str], samples: int
     zero = np.zeros(len(parts), np.int64)
     paths = [descend(np.arange(len(parts)), zero, zero, 0)]
     opened(paths[0], 0, g0, np.zeros(n_rows))
-    # a segmentation: its log probability, its value, and where its ids stand: slices of paths and single ids
-    emitted: list[list] = [[] for _ in texts]
+    # of each sample: its rows, log probabilities and values, and of each row where its ids stand: slices of paths and single ids
+    some = np.array([i for i in range(n_rows) if texts[i] is not None], np.int64)
+    taken = [(some, paths[0]["total"][some], g0[some])]
     heads: dict[tuple[int, int], list] = {}
-    for i in range(n_rows):
-        if texts[i] is not None:
-            emitted[i].append((paths[0]["total"][i], g0[i], [(0, int(paths[0]["start"][i]), int(paths[0]["end"][i]))]))
-    gone: dict[tuple[int, int], set[int]] = {}
-    kappa = np.full(n_rows, -np.inf)
+    gone: dict[tuple[int, int], list[int]] = {}
+    kappa, live = np.full(n_rows, -np.inf), np.zeros(n_rows, bool)
+    live[some] = True
     for r in range(1, samples + 1):
-        best, where = np.full(n_rows, -np.inf), np.full((n_rows, 2), -1)
+        best, of, where = np.full(n_rows, -np.inf), np.zeros(n_rows, np.int64), np.zeros(n_rows, np.int64)
         for q, path in enumerate(paths):
             filled = np.flatnonzero(path["end"] > path["start"])
             if len(filled):
-                top = np.maximum.reduceat(path["g"], path["start"][filled])
-                for i in filled[top > best[filled]]:
-                    lo, hi = path["start"][i], path["end"][i]
-                    where[i] = q, lo + int(np.argmax(path["g"][lo:hi]))
-                best[filled] = np.maximum(best[filled], top)
+                top = np.full(n_rows, -np.inf)
+                top[filled] = np.maximum.reduceat(path["g"], path["start"][filled])
+                at = np.flatnonzero((path["g"] == top[path["row"]]) & (top > best)[path["row"]])
+                rows, lead = np.unique(path["row"][at], return_index=True)  # of equal values the first
+                best[rows], of[rows], where[rows] = top[rows], q, at[lead]
         if r == samples:
             kappa = best
             break
-        todo = [i for i in range(n_rows) if best[i] > -np.inf and len(emitted[i]) == r]
-        if not todo:
+        live &= best > -np.inf
+        todo = np.flatnonzero(live)
+        if not len(todo):
             break
         which, at0, step0, so_far = [], [], [], np.zeros(n_rows)
-        for i in todo:
-            q, at = (int(x) for x in where[i])
-            path = paths[q]
-            part, step, node = int(path["part"][at]), int(path["step"][at]), int(path["node"][at])
-            lo, hi = int(edge[node]), int(edge[node + 1])
-            used = gone.setdefault((q, at), {int(path["edge"][at])})
-            rest = prob[lo:hi].astype(np.float64)
-            rest[[e - lo for e in used]] = 0
-            x = _uniform(part_key[part : part + 1], r, part_no[part], step, 4)[0] * rest.sum()
-            k = min(int((np.cumsum(rest) <= x).sum()), len(rest) - 1)
-            k = k if rest[k] > 0 else int(rest.argmax())
-            used.add(lo + k)
-            mass, upto = float(rest.sum() - rest[k]), path["upto"][at]
-            path["g"][at] = -np.inf
-            if mass > 1e-12:  # what stays of the region, under the value just taken
-                phi = upto + np.log(mass)
-                e = -np.log(_uniform(part_key[part : part + 1], r, part_no[part], step, 5)[0])
-                path["g"][at] = phi - np.log(e + np.exp(min(phi - best[i], 700)))
-            heads[i, r] = heads.get((i, q), []) + [(q, int(path["start"][i]), at), (-1, int(piece[lo + k]), 0)]
-            so_far[i] = upto + np.log(rest[k])
-            later = np.arange(part, first[i + 1])
-            places, steps = np.zeros(len(later), np.int64), np.zeros(len(later), np.int64)
-            places[0], steps[0] = node - base[part] + width[lo + k], step + 1
-            keep = slice(0 if places[0] < length[part] else 1, None)
-            which.append(later[keep])
-            at0.append(places[keep])
-            step0.append(steps[keep])
-        paths.append(descend(np.concatenate(which), np.concatenate(at0), np.concatenate(step0), r))
+        for q in np.unique(of[todo]).tolist():
+            rows, path = todo[of[todo] == q], paths[q]
+            at = where[rows]
+            part, step, node, upto = path["part"][at], path["step"][at], path["node"][at], path["upto"][at]
+            lo, hi = edge[node].astype(np.int64), edge[node + 1].astype(np.int64)
+            spots = lo[:, None] + np.arange(int((hi - lo).max()))
+            rest = np.where(spots < hi[:, None], prob[np.minimum(spots, len(prob) - 1)].astype(np.float64), 0.0)
+            for j, a in enumerate(at.tolist()):
+                for e in gone.setdefault((q, a), [int(path["edge"][a])]):
+                    rest[j, e - lo[j]] = 0
+            line = np.arange(len(rows))
+            x = _uniform(part_key[part], r, part_no[part], step, 4) * rest.sum(1)
+            k = np.minimum((np.cumsum(rest, 1) <= x[:, None]).sum(1), hi - lo - 1)
+            k = np.where(rest[line, k] > 0, k, rest.argmax(1))
+            p = rest[line, k]
+            mass = rest.sum(1) - p
+            # what stays of the region, under the value just taken
+            phi = upto + np.log(np.maximum(mass, 1e-300))
+            e = -np.log(_uniform(part_key[part], r, part_no[part], step, 5))
+            path["g"][at] = np.where(mass > 1e-12, phi - np.log(e + np.exp(np.minimum(phi - best[rows], 700))), -np.inf)
+            so_far[rows] = upto + np.log(p)
+            chosen = lo + k
+            for i, a, s, c in zip(rows.tolist(), at.tolist(), path["start"][rows].tolist(), chosen.tolist(), strict=True):
+                gone[q, a].append(c)
+                heads[i, r] = heads.get((i, q), []) + [(q, s, a), (-1, int(piece[c]), 0)]
+            # the rest of the part, if any, and all later parts of the text
+            place = node - base[part] + width[chosen]
+            begin = part + (place >= length[part])
+            many = first[rows + 1] - begin
+            new = np.repeat(begin - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+            within = new == np.repeat(part, many)
+            which.append(new)
+            at0.append(np.where(within, np.repeat(place, many), 0))
+            step0.append(np.where(within, np.repeat(step + 1, many), 0))
+        which, at0, step0 = np.concatenate(which), np.concatenate(at0), np.concatenate(step0)
+        order = np.argsort(which, kind="stable")
+        paths.append(descend(which[order], at0[order], step0[order], r))
         opened(paths[-1], r, best, so_far)
-        for i in todo:
-            emitted[i].append((paths[-1]["total"][i], best[i], heads[i, r] + [(r, int(paths[-1]["start"][i]), int(paths[-1]["end"][i]))]))
-    out: list[list[tuple]] = []
-    for i in range(n_rows):
-        got, wanted = [], (texts[i] or "").encode()
-        for log_p, value, chain in emitted[i]:
-            ids = np.concatenate([paths[q]["id"][a:b] if q >= 0 else np.array([a], np.int32) for q, a, b in chain]) if chain else np.zeros(0, np.int32)
-            if len(ids) and ids.min() < 0:
-                ids = np.array([x for j in ids.tolist() for x in ((j,) if j >= 0 else spelling[-1 - j])], np.int32)
-            inclusion = 1.0 if kappa[i] == -np.inf else float(-np.expm1(-np.exp(min(log_p - kappa[i], 700))))
-            got.append((ids, float(log_p), float(value), inclusion, _decoded(lattices, ids.tolist()) == wanted))
-        out.append(got)
+        taken.append((todo, paths[-1]["total"][todo], best[todo]))
+    spelled = [np.array(x, np.int32) for x in store.spelling]
+    out: list[list[tuple]] = [[] for _ in texts]
+    for r, (rows, logs, values) in enumerate(taken):
+        ids, sizes = _ids(paths, heads, r, rows)
+        if len(ids) and ids.min() < 0:
+            raw = np.flatnonzero(ids < 0)
+            wide = np.ones(len(ids), np.int64)
+            bytes_ = [spelled[-1 - j] for j in ids[raw].tolist()]
+            wide[raw] = [len(x) for x in bytes_]
+            ends = np.cumsum(sizes)
+            sizes = np.diff(np.concatenate([[0], np.cumsum(wide)])[np.concatenate([[0], ends])])
+            ids = np.repeat(ids, wide)
+            ids[ids < 0] = np.concatenate(bytes_)
+        ends = np.cumsum(sizes)
+        decoded = lattices.column.take(pa.array(ids))
+        spots, data = np.frombuffer(decoded.buffers()[1], np.int64)[decoded.offset :] if len(ids) else np.zeros(1, np.int64), memoryview(decoded.buffers()[2] or b"")
+        inclusion = np.where(np.isneginf(kappa[rows]), 1.0, -np.expm1(-np.exp(np.minimum(logs - np.where(np.isneginf(kappa[rows]), 0, kappa[rows]), 700))))
+        for j, (i, a, b) in enumerate(zip(rows.tolist(), (ends - sizes).tolist(), ends.tolist(), strict=True)):
+            again = bytes(data[spots[a] : spots[b]])
+            out[i].append((ids[a:b], float(logs[j]), float(values[j]), float(inclusion[j]), again.removeprefix(b" ") == texts[i].encode()))
     return out
 
 
+def _ids(paths: list[dict], heads: dict, r: int, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of sample r of rows one after another, and how many each row has."""
+    path = paths[r]
+    if not r:  # the first path is what it is
+        sizes = (path["end"] - path["start"])[rows]
+        return path["id"], sizes
+    each = []
+    for i, a, b in zip(rows.tolist(), path["start"][rows].tolist(), path["end"][rows].tolist(), strict=True):
+        each += [paths[q]["id"][x:y] if q >= 0 else np.array([x], np.int32) for q, x, y in heads[i, r]] + [path["id"][a:b]]
+    sizes = np.array([sum(y - x if q >= 0 else 1 for q, x, y in heads[i, r]) + int(path["end"][i] - path["start"][i]) for i in rows.tolist()], np.int64)
+    return np.concatenate(each) if each else np.zeros(0, np.int32), sizes
+
+
 def _column(rows: list[list[tuple]]) -> pa.Array:
     flat = [x for row in rows for x in row]
     ends = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
@@ -392,14 +462,13 @@ def sampled(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store = _store(model_file, temper)
         for batch in batches:
-            texts, keys, found, lot, size = batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), [], [], 0
+            texts, keys, lo, size = batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), 0, 0
             for i, t in enumerate(texts):
-                lot.append(i)
                 size += len(t or "")
-                if size > 400_000 or i == len(texts) - 1:
-                    found += sample(store, [texts[j] for j in lot], [keys[j] for j in lot], samples, seed)
-                    lot, size = [], 0
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], _column(found)], names=[*names, "pieces"])
+                if size > 400_000 or i == len(texts) - 1:  # samples take many times a text's room, so they leave in lots
+                    found = sample(store, texts[lo : i + 1], keys[lo : i + 1], samples, seed)
+                    yield pa.RecordBatch.from_arrays([*(c.slice(lo, i + 1 - lo) for c in batch.columns[: len(names)]), _column(found)], names=[*names, "pieces"])
+                    lo, size = i + 1, 0
 
     text = [F.col("text").cast("string").alias("__text")] if at == len(kept) else []
     wide = docs.select(*(F.col(f"`{n}`") for n in names), *text, F.coalesce(key.cast("string"), F.lit("null")).alias("__key"))
