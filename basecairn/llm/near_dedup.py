@@ -13,8 +13,11 @@
 4. The sketch of the union estimates the similarity and drops clear misses; the whole sets confirm the rest.
 5. Components by alternating large-star and small-star rounds.
 
+A set of over 72 values is drawn from, so its bound of shared values may lose a pair at the very threshold, with a probability of about
+1e-9 (six standard deviations); pairs of smaller sets, and more similar pairs sooner, are never lost.
+
 Defined results: null or blank text: an empty set, linked with nothing. Null doc_id: no component (null), kept.
-Repeated rows and rows that share a doc_id: one node. Other columns are not touched.
+Repeated rows and rows that share a doc_id: one node. No documents: no rows. Whole texts count, however long. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -159,11 +162,14 @@ def _confirmed(spark: SparkSession, pairs: DataFrame, sketches: DataFrame, sets:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sketch: int = SKETCH, similarity: int = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable over links of at least the similarity), kept (doc_id = component_id), for every row of docs."""
     prepare(spark)
-    base, base_at = written(spark, _with_sets(docs, sketch), "sketches")
+    base, _ = written(spark, _with_sets(docs, sketch), "sketches")
     ids = base.where("digest is not null and doc_id is not null")
     classes = ids.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     # one sketch for each class; a doc_id with several texts joins their classes below
-    reps, reps_at = written(spark, ids.join(classes.select(F.col("digest"), F.col("rep").alias("doc_id")), ["digest", "doc_id"], "left_semi").dropDuplicates(["digest", "doc_id"]), "classes")
+    # rows of equal text and doc_id are one; where none is repeated, as narrow counts tell, sketches and sets need no shuffle for that
+    repeated = bool(ids.groupBy("digest", "doc_id").count().where("count > 1").take(1))
+    once = (lambda df: df.dropDuplicates(["digest", "doc_id"])) if repeated else (lambda df: df)
+    reps, reps_at = written(spark, once(ids.join(classes.select(F.col("digest"), F.col("rep").alias("doc_id")), ["digest", "doc_id"], "left_semi")), "classes")
     postings = reps.select("digest", "n_shingles", F.explode("hashes").alias("value"))
     frequent = postings.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
     retained = F.least(F.col("n_shingles"), F.lit(sketch))
@@ -183,7 +189,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sketch: int = SKETCH,
     # whole sets of the listed classes; how many of a class's values any other has, and how common they are
     wanted = lists.join(lists.groupBy("value").count().where("count > 1").select("value"), "value", "left_semi").select("digest").distinct()
     ids_of, ids_at = written(spark, reps.select("digest", "doc_id").join(wanted, "digest", "left_semi"), "ids")
-    sets, sets_at = written(spark, _with_sets(docs.join(bounded(ids_of.select("doc_id").distinct()), "doc_id", "left_semi"), whole=True).join(bounded(ids_of), ["digest", "doc_id"], "left_semi").dropDuplicates(["digest", "doc_id"]), "sets")
+    sets, sets_at = written(spark, once(_with_sets(docs.join(bounded(ids_of.select("doc_id").distinct()), "doc_id", "left_semi"), whole=True).join(bounded(ids_of), ["digest", "doc_id"], "left_semi")), "sets")
     values = sets.select("digest", "n_shingles", F.explode("hashes").alias("value"))
     common = values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
     able = values.join(common, "value").groupBy("digest", "n_shingles").agg(F.count("*").alias("possible"), F.sum(F.log("df")).alias("central")).where(F.col("possible") * 100 >= F.col("n_shingles") * similarity)
