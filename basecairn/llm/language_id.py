@@ -4,14 +4,18 @@ posterior(l) ~ prior(l | host) * P(text | l)^TEMPER * P(declared | l) * P(suffix
 
 * text: log likelihoods of hashed character trigrams under models fitted on at most ``FIT_DOCS`` labelled documents (the least
   hashes of doc_id), tempered because trigrams overlap;
-* declared markup language (the html element's lang) and the address suffix (last label of the host): smoothed shares among
-  pages by their text posterior, from grouped sums over all pages;
+* declared markup language (the html element's lang) and the address suffix (last label of the host): each value's share of a
+  language's pages by their text posterior, from grouped sums over all pages, smoothed by ``HALF`` a page for each value there is;
 * host: grouped sums of text posteriors, smoothed towards the registered domain's, those towards all pages' (each level counts
-  ``STRENGTH`` pages); a page's own part is taken out, so a lone page falls back to its domain.
+  ``STRENGTH`` pages);
+* a page's own part is taken out of all these sums, so that no page is its own evidence: a lone page falls back to its domain.
+
+Sums of up to ``MOST_KEYS`` hosts are broadcast after a count; more are joined by a shuffle, in which Spark splits the rows of a large host.
 
 Defined results: null or empty html, or no text in it: the text tells nothing and the other evidence decides. Null or odd url: host,
 domain and suffix are empty strings, a host of their own. No labelled document: language "und" with probability 1.
-Repeated rows: each on its own. Ties go to the language that sorts first.
+Repeated rows: each on its own. Ties go to the language that sorts first. No pages: no rows. Whole pages are read, however long.
+Of several labelled texts of one doc_id the model sees the one with the least hash. Columns other than page_id, url and html are not read.
 """
 
 from __future__ import annotations
@@ -25,12 +29,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, written
+from .common import bounded, drop, prepare, written
 
 FIT_DOCS = 4000
 CELLS = 1 << 15
 TEMPER = 0.15
 STRENGTH = 5.0
+HALF = 0.5
+MOST_KEYS = 200_000
 _DROP = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
 # comments and scripts, which are skipped, or the html tag; what isn't closed goes to the end
 _HTML = re.compile(r"(?is)<!--(?:-?>|.*?(?:--!?>|\Z))|<(script|style)\b.*?(?:</\1\s*>|\Z)|(?P<html><html(?=[\s/>]))")
@@ -77,7 +83,8 @@ class TextModel:
 def trained(docs: DataFrame, rows: int = FIT_DOCS) -> TextModel:
     known = docs.where("lang is not null and text is not null")
     chosen = known.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    sample = known.select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id").limit(2 * rows).toArrow()
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), "lang", "text")).alias("x")
+    sample = known.select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(one).select("x.lang", "x.text").toArrow()
     names, texts = sample.column("lang").to_pylist(), sample.column("text").to_pylist()
     langs = sorted(set(names))
     counts = np.full((CELLS, len(langs)), 0.5)
@@ -120,7 +127,7 @@ def identified(spark: SparkSession, pages: DataFrame, model: TextModel) -> DataF
     langs = model.langs
     if not langs:
         return pages.select(F.col("page_id").cast("long").alias("page_id"), F.lit("und").alias("lang"), F.lit(1.0).alias("probability"), F.lit("und").alias("text_lang"), F.lit("").alias("declared"), F.lit("").alias("host"))
-    base, _ = written(spark, evidence(spark, pages, model), "evidence")
+    base, base_at = written(spark, evidence(spark, pages, model), "evidence")
     everything = base.agg(F.array(*[F.coalesce(F.sum(F.col("own")[i]), F.lit(0.0)) for i in range(len(langs))]).alias("x")).first().x
     whole = sum(everything)
     prior = [(x + 1) / (whole + len(langs)) for x in everything]
@@ -128,16 +135,17 @@ def identified(spark: SparkSession, pages: DataFrame, model: TextModel) -> DataF
     hosts = _sums(base.select("host", "own"), "host", langs, "n_host").withColumn("domain", F.substring_index("host", ".", -2))
     domains = hosts.groupBy("domain").agg(F.array(*[F.sum(F.col("n_host")[i]) for i in range(len(langs))]).alias("n_domain"))
     sums = hosts.join(domains, "domain").select("host", "n_host", "n_domain")
-    shares = {}
+    out, paths, totals = base, [base_at], F.array(*[F.lit(e) for e in everything])
     for kind in ("declared", "suffix"):
-        n = base.groupBy(kind).agg(F.count("*").alias("pages"), F.array(*[F.sum(F.col("own")[i]) for i in range(len(langs))]).alias("n"))
-        per = F.transform("n", lambda x, i: F.log((x + 0.5) / (F.element_at(F.array(*[F.lit(e) for e in everything]), i + 1) + 0.5 * 50)))
         # what is declared, or not, is a short list on any web; a longer one is joined by a shuffle
-        shares[kind], _ = written(spark, n.select(kind, per.alias(f"log_{kind}")), kind)
-    out = base
-    for kind, table in shares.items():
-        out = out.join(F.broadcast(table) if table.limit(100_001).count() <= 100_000 else table, kind)
-    out = out.join(sums, "host")
+        table, at = written(spark, _sums(base.select(kind, "own"), kind, langs, f"n_{kind}"), kind)
+        paths.append(at)
+        values = table.count()
+        rest = F.zip_with(F.zip_with(f"n_{kind}", "own", lambda n, o: F.greatest(F.lit(0.0), n - o)), F.zip_with(totals, "own", lambda t, o: t - o), lambda n, t: F.log((n + HALF) / (t + HALF * values)))
+        out = out.join(bounded(table, 100_000), kind).withColumn(f"log_{kind}", rest)
+    hosts_of, at = written(spark, sums, "hosts")
+    paths.append(at)
+    out = out.join(bounded(hosts_of, MOST_KEYS), "host")
     without = lambda a: F.zip_with(a, "own", lambda n, o: F.greatest(F.lit(0.0), n - o))
     out = out.withColumns({"n_host": without("n_host"), "n_domain": without("n_domain")})
     out = out.withColumn("p_domain", F.zip_with("n_domain", all_, lambda n, p: (n + STRENGTH * p) / (_total("n_domain") + STRENGTH)))
@@ -146,4 +154,7 @@ def identified(spark: SparkSession, pages: DataFrame, model: TextModel) -> DataF
     out = out.withColumn("best", F.array_max("post")).withColumn("norm", F.aggregate("post", F.lit(0.0), lambda t, x: t + F.exp(x - F.array_max("post"))))
     names = F.array(*[F.lit(x) for x in langs])
     first = lambda a: F.element_at(names, F.array_position(a, F.array_max(a)).cast("int"))
-    return out.select("page_id", first("post").alias("lang"), (1 / F.col("norm")).alias("probability"), first("logs").alias("text_lang"), "declared", "host")
+    found = out.select("page_id", first("post").alias("lang"), (1 / F.col("norm")).alias("probability"), first("logs").alias("text_lang"), "declared", "host")
+    result, _ = written(spark, found, "languages")
+    drop(spark, *paths)
+    return result
