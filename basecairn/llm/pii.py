@@ -11,11 +11,13 @@ keyed permutation, so equal values stay linked across documents and different va
 * e-mail addresses: letters and digits of the local part; access keys and hex tokens: all characters after a fixed prefix.
 
 A Feistel round adds to one half, character by character modulo the alphabet, a SHA-512 of key, kind, round and the other
-half; any round is undone by subtracting, so ``reveal`` inverts ``pseudonym``. Nothing is shuffled, nothing leaves the row.
+half; any round is undone by subtracting, so with ``inverse`` the same key turns pseudonyms back. The key is the caller's secret:
+whoever has it can invert. Nothing is shuffled, nothing leaves the row.
 Limit: a pseudonym in a run of digit groups may by chance give a valid number with its neighbours that goes before the right one;
 such a run is not inverted.
 
-Defined results: null text stays null, empty stays empty, what fails validation stays as it is; other columns are not touched.
+Defined results: null text stays null, empty stays empty, what fails validation stays as it is. Repeated rows: each alike. No
+documents: no rows. Whole texts are searched, however long. A column pii that docs has already is replaced, other columns are not touched.
 """
 
 from __future__ import annotations
@@ -23,7 +25,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KEY = "basecairn pseudonym key"
 ROUNDS = 8
 DIGITS, HEX, LOWER, ALNUM = "0123456789", "0123456789abcdef", "0123456789abcdefghijklmnopqrstuvwxyz", "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 UPPER = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -58,7 +59,7 @@ def _rounds(inverse: bool) -> str:
     return f"sequence({ROUNDS - 1}, 0)" if inverse else f"sequence(0, {ROUNDS - 1})"
 
 
-def permuted(value: str, alphabet: str, kind: str, key: str = KEY, inverse: bool = False) -> str:
+def permuted(value: str, alphabet: str, kind: str, key: str, inverse: bool = False) -> str:
     """SQL for the keyed permutation of a string over an alphabet (2 to 128 characters long; one character: a keyed shift)."""
     base, sign = len(alphabet), "-" if inverse else "+"
     digest = lambda other: f"sha2(concat({_lit(key + ':' + kind + ':')}, length({value}), ':', i, ':', {other}), 512)"
@@ -76,7 +77,7 @@ def permuted(value: str, alphabet: str, kind: str, key: str = KEY, inverse: bool
     return f"if({value} = '', '', aggregate({_rounds(inverse)}, {start}, {step}, a -> concat(a.l, a.r)))"
 
 
-def permuted_day(day: str, key: str = KEY, inverse: bool = False) -> str:
+def permuted_day(day: str, key: str, inverse: bool = False) -> str:
     """SQL for the keyed permutation of a day number from 0 to 146,096: a Feistel network over 189 x 773 by modular addition."""
     (m, n), sign = DAYS, "-" if inverse else "+"
     f = lambda x: f"bigint(conv(substr(sha2(concat({_lit(key + ':date:')}, i, ':', {x}), 256), 1, 12), 16, 10))"
@@ -100,7 +101,7 @@ def _refilled(original: str, chars: str, keep: str) -> str:
     return f"array_join(transform(split({original}, ''), (c, p) -> if(c rlike '{keep}', substr({chars}, length(regexp_replace(substr({original}, 1, p + 1), '[^{keep[1:-1]}]', '')), 1), c)), '')"
 
 
-def replaced(m: str, key: str = KEY, inverse: bool = False) -> str:
+def replaced(m: str, key: str, inverse: bool = False) -> str:
     """SQL for a match m: its pseudonym (inverse: its original) if it is valid, else m itself."""
     p = lambda v, alphabet, kind: permuted(v, alphabet, kind, key, inverse)
     digits = f"regexp_replace({m}, '[^0-9]', '')"
@@ -158,7 +159,7 @@ def _pairs(text: str, key: str, inverse: bool) -> str:
     return f"transform(regexp_extract_all({text}, {_lit(PATTERN)}, 0), m -> transform({_parts('m')}, q -> transform(array(q.was), w -> named_struct('kind', q.kind, 'was', w, 'now', {one}))[0]))"
 
 
-def pseudonymised(docs: DataFrame, key: str = KEY, inverse: bool = False) -> DataFrame:
+def pseudonymised(docs: DataFrame, key: str, inverse: bool = False) -> DataFrame:
     """docs with text rewritten and pii: an array of (kind, was, now), one for each replaced value in order.
 
     With inverse, pseudonyms made under the key turn back into the originals.

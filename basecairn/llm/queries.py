@@ -17,6 +17,11 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def pii_key(spark: SparkSession) -> str:
+    """The secret of the pseudonyms: spark.basecairn.piiKey; without it a key for tests, which protects nothing."""
+    return spark.conf.get("spark.basecairn.piiKey", "test key")
+
+
 def language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, lang, probability, text_lang, declared, host of every page."""
     return language_id.identified(spark, table(spark, sf_dir, "pages"), language_id.trained(table(spark, sf_dir, "documents")))
@@ -29,7 +34,7 @@ def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, the text with pseudonyms, and how many values of each kind were replaced."""
     prepare(spark)
-    found = pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), pii_key(spark))
     counts = [F.expr(f"bigint(size(filter(pii, x -> x.kind = '{kind}')))").alias(f"n_{kind}") for kind in pii.KINDS]
     return found.select("doc_id", "text", *counts)
 
