@@ -7,6 +7,7 @@ exactly at its budget: whole epochs first, then the documents in key order, the
 
 Defined results: null text: size 0. Null source: a source of its own, the last. Null doc_id: keyed as "null".
 Equal keys: by doc_id, then size; equal rows may stand for each other. No documents or no words: nothing is taken.
+Columns source_size, target and taken that docs has already are replaced, other columns are not touched.
 """
 
 from __future__ import annotations
@@ -46,6 +47,7 @@ def targets(totals: DataFrame, weights: int = 3, most: int = MOST_EPOCHS) -> Dat
 
 def mixed(spark: SparkSession, docs: DataFrame, seed: int = 0) -> DataFrame:
     """docs (doc_id, source, size and any other columns) with source_size, target and taken: the words the mix takes of each row."""
+    docs = docs.drop("source_size", "target", "taken")
     size, source = F.col("size").cast("long"), F.col("source")
     narrow, at = written(spark, docs.select("doc_id", "source", size.alias("size")), "sizes")
     found, sources_at = written(spark, targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))), "sources")
