@@ -2,7 +2,8 @@
 
 The lexicon keeps the terms whose share of documents lies in a band: log(1 / BAND_HIGH) <= idf <= log(1 / BAND_LOW).
 As the shares of all terms sum to the mean number of distinct terms of a document, the lexicon holds at most that mean
-divided by BAND_LOW, however large the corpus is, so it goes to every task. Counts cover all documents: each task counts its
+divided by BAND_LOW, however large the corpus is, so it goes to every task. Where long documents would make that bound larger than
+``MOST_TERMS``, the lower end of the band rises until the bound is MOST_TERMS. Counts cover all documents: each task counts its
 own terms, partial counts are summed by term.
 
 A fingerprint has one hash for each of the randomised lexicons (RATES). Lexicon s keeps each term with probability RATES[s],
@@ -12,6 +13,7 @@ document has terms, 1 for equal fingerprints of which a lexicon has terms.
 
 Defined results: null text: as empty. Texts without a term of the lexicon: "0:" and a hash of the text, like only an equal
 fingerprint. Ties of doc_id: by a hash of the text, then alike; null doc_ids come last in the descending order. One document: its own next.
+No documents: no rows. Whole texts count, however long. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -26,10 +28,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import drop, prepare, written
 
 BAND_LOW, BAND_HIGH = 5e-4, 0.2
 RATES = (1.0,) + (1 / 16,) * 12 + (1 / 64,) * 20 + (1 / 256,) * 20 + (1 / 1024,) * 12
+MOST_TERMS = 1_000_000
 _EMPTY = "-"
 
 
@@ -56,12 +59,16 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def lexicon(spark: SparkSession, docs: DataFrame, low: float = BAND_LOW, high: float = BAND_HIGH) -> np.ndarray:
-    """Sorted hashes of the terms in the band; at most (mean distinct terms of a document) / low of them."""
+    """Sorted hashes of the terms in the band; at most (mean distinct terms of a document) / low of them, and at most MOST_TERMS."""
     prepare(spark)
     n = docs.count()
-    terms = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_count, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
-    kept = terms.where((F.col("df") >= max(2.0, low * n)) & (F.col("df") <= max(2.0, high * n))).select("term")
-    return np.sort(np.asarray(kept.toArrow().column("term").to_numpy(), np.int64))
+    counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_count, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
+    terms, at = written(spark, counted.where((F.col("df") >= max(2.0, low * n)) & (F.col("df") <= max(2.0, high * n))), "lexicon")
+    size, total = terms.agg(F.count("*"), F.coalesce(F.sum("df"), F.lit(0))).first()
+    kept = terms if size <= MOST_TERMS else terms.where(F.col("df") >= total / MOST_TERMS)  # no more than MOST_TERMS terms can stand in so many documents
+    out = np.sort(np.asarray(kept.select("term").toArrow().column("term").to_numpy(), np.int64))
+    drop(spark, at)
+    return out
 
 
 class Fingerprints:
@@ -122,14 +129,27 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - third] + following[:third]
 
 
-def _ranges(ids, rising: np.ndarray):
-    """The range of each id: how many cuts are not below it; nulls beyond all."""
+def _ties(parts: int) -> np.ndarray:
+    """Cuts of the hashes of texts into equal parts."""
+    return np.array([-(1 << 63) + (i << 64) // parts for i in range(parts)], np.int64)
+
+
+def _ranges(ids, ties, cuts: list[tuple[int, int]], nulls: int):
+    """The range of each row in descending order of ids, then ascending order of ties. A cut (id, parts) begins a range with that id;
+    an id that holds many rows has several parts, cut by the ties, and so have nulls, which come after all."""
     import pandas as pd
 
-    known = ids.notna().to_numpy()
-    out = np.full(len(ids), len(rising), np.int32)
-    out[known] = len(rising) - np.searchsorted(rising, ids[known].astype("int64").to_numpy(), side="left")
-    return pd.Series(out)
+    known, tie = ids.notna().to_numpy(), ties.to_numpy()
+    rising, parts = np.array([c for c, _ in cuts][::-1], np.int64), np.array([p for _, p in cuts][::-1], np.int64)
+    above = np.concatenate([np.cumsum(parts[::-1])[::-1], [0]])  # ranges that begin with the cut or a larger one
+    x = ids.fillna(0).astype("int64").to_numpy()
+    out = above[np.searchsorted(rising, x, side="right")]
+    for c, p in cuts:
+        here = known & (x == c)
+        out[here] += np.searchsorted(_ties(p), tie[here], side="right")
+    # ids between two cuts are in the last range of the cut above them
+    out[~known] = int(parts.sum()) + np.searchsorted(_ties(nulls)[1:], tie[~known], side="right") + 1
+    return pd.Series(out.astype(np.int32))
 
 
 def fingerprinted(spark: SparkSession, docs: DataFrame, terms: np.ndarray | None = None, partitions: int | None = None) -> DataFrame:
@@ -143,11 +163,12 @@ def fingerprinted(spark: SparkSession, docs: DataFrame, terms: np.ndarray | None
     shared = spark.sparkContext.broadcast(terms)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
-    cuts = sorted({int(c) for c in base.where("doc_id is not null").approxQuantile("doc_id", [i / n for i in range(1, n)], 0.1 / n)}, reverse=True) if n > 1 else []
-    # range 0 holds the largest ids; null ids fall into the last
-    rising = np.array(cuts[::-1], np.int64)
-    range_of = F.pandas_udf(lambda ids: _ranges(ids, rising), "int")
-    placed = base.withColumn("place", range_of("doc_id"))
+    rows, empty = docs.agg(F.count("*"), F.count(F.when(F.col("doc_id").isNull(), 1))).first()
+    found = base.where("doc_id is not null").approxQuantile("doc_id", [i / n for i in range(1, n)], 0.1 / n) if n > 1 else []
+    cuts = sorted(Counter(int(c) for c in found).items(), reverse=True)  # an id is found as often as it fills a range
+    nulls = max(1, -(-empty * n // max(1, rows)))
+    range_of = F.pandas_udf(lambda ids, ties: _ranges(ids, ties, cuts, nulls), "int")
+    placed = base.withColumn("place", range_of("doc_id", "tie"))
     least = F.lit(-(1 << 63))
     order = F.struct(F.coalesce(F.col("doc_id"), least).alias("d"), (-F.col("tie").cast("decimal(20,0)")).alias("t"))
     heads = placed.groupBy("place").agg(F.max(order).alias("h")).select("place", F.col("h.d").alias("d"), (-F.col("h.t")).cast("long").alias("t")).orderBy("place").collect()  # one row for each range
@@ -157,7 +178,7 @@ def fingerprinted(spark: SparkSession, docs: DataFrame, terms: np.ndarray | None
     is_head = (F.coalesce(F.col("doc_id"), least) == F.col("d")) & (F.col("tie") == F.col("t"))
     spread = placed.join(first, "place").withColumn("to", F.explode(F.when(is_head, F.array(own, F.struct(F.col("before").alias("place"), F.lit(True).alias("last")))).otherwise(F.array(own))))
     spread = spread.select("doc_id", "text", "tie", F.col("to.place").alias("place"), F.col("to.last").alias("last"))
-    ranged = spread.repartitionById(len(cuts) + 1, F.col("place")).sortWithinPartitions("place", "last", F.col("doc_id").desc_nulls_last(), "tie")
+    ranged = spread.repartitionById(sum(p for _, p in cuts) + 1 + nulls, F.col("place")).sortWithinPartitions("place", "last", F.col("doc_id").desc_nulls_last(), "tie")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = Fingerprints(shared.value)
