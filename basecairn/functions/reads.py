@@ -1,10 +1,12 @@
-"""Column functions on reads: bases, qualities, bytes. Built-in expressions only, so they stay inside Catalyst."""
+"""Column functions on reads: bases, qualities, bytes. Built-in expressions where they do the work in one pass; what they would do
+base by base, or in quadratic time, are arrow functions over whole batches (``bulk``)."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import bulk
 from ..schema import LOWEST64, MOST_AMBIGUOUS, PHRED33, PHRED64
 
 
@@ -37,17 +39,16 @@ def denormalize_quality(values: Column, offset: Column) -> Column:
 
 def delta_encode(values: Column) -> Column:
     """First value, then differences modulo 256."""
-    return F.transform(values, lambda x, i: F.when(i == 0, x).otherwise(F.pmod(x - F.get(values, i - 1), F.lit(256))))
+    return F.arrow_udf(lambda v: bulk.delta(v), "array<int>")(values.cast("array<int>"))
 
 
 def delta_decode(values: Column) -> Column:
-    """Running sums modulo 256. Appending to an array is quadratic in a read's length; whole blocks go through the kernels."""
-    start = F.array().cast("array<int>")
-    return F.aggregate(values, start, lambda a, x: F.concat(a, F.array(F.pmod(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + x, F.lit(256)).cast("int"))))
+    """Running sums modulo 256."""
+    return F.arrow_udf(lambda v: bulk.undelta(v), "array<int>")(values.cast("array<int>"))
 
 
 def packed_length(s: Column) -> Column:
-    return F.expr("1") * F.floor((F.length(s) + 3) / 4).cast("int")
+    return F.floor((F.length(s) + 3) / 4).cast("int")
 
 
 def canonical_sequence(s: Column) -> Column:
@@ -57,24 +58,16 @@ def canonical_sequence(s: Column) -> Column:
 
 def n_positions(s: Column) -> Column:
     """0-based places of characters that are not ACGTacgt, within the first 65,536."""
-    at = F.transform(chars(F.substring(s, 1, MOST_AMBIGUOUS)), lambda c, i: F.when(F.instr(F.lit("ACGTacgt"), c) == 0, i))
-    return F.when(s.rlike("[^ACGTacgt]"), F.filter(at, lambda x: x.isNotNull())).otherwise(F.array().cast("array<int>"))
+    return F.arrow_udf(lambda v: bulk.ambiguous(v, MOST_AMBIGUOUS), "array<int>")(s)
 
 
 def overlay_n(s: Column, positions: Column) -> Column:
-    return F.when(F.size(positions) > 0, F.array_join(F.transform(chars(s), lambda c, i: F.when(F.array_contains(positions, i), "N").otherwise(c)), "")).otherwise(s)
+    return F.arrow_udf(lambda v, at: bulk.overlaid(v, at), "string")(s, positions)
 
 
 def pack_bases_hex(s: Column) -> Column:
     """Upper-case hex of the packed bases: four to a byte, the first in the low bits; other characters count as A."""
-    digits = F.translate(F.regexp_replace(F.upper(s), "[^ACGT]", "A"), "ACGT", "0123")
-
-    def one(i: Column) -> Column:
-        four = F.rpad(F.substring(digits, i * 4 + 1, F.lit(4)), 4, "0")
-        return F.lpad(F.conv(F.reverse(four), 4, 16), 2, "0")
-
-    n = F.floor((F.length(s) + 3) / 4).cast("int")
-    return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), one), "")).otherwise("")
+    return F.arrow_udf(lambda v: bulk.pack_hex(v), "string")(s)
 
 
 def pack_bases(s: Column) -> Column:
@@ -82,13 +75,7 @@ def pack_bases(s: Column) -> Column:
 
 
 def unpack_bases_hex(packed: Column, length: Column, positions: Column) -> Column:
-    n = F.floor(F.length(packed) / 2).cast("int")
-
-    def one(i: Column) -> Column:
-        return F.reverse(F.translate(F.lpad(F.conv(F.substring(packed, i * 2 + 1, F.lit(2)), 16, 4), 4, "0"), "0123", "ACGT"))
-
-    bases = F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), one), "")).otherwise("")
-    return overlay_n(F.substring(bases, F.lit(1), length), positions)
+    return F.arrow_udf(lambda p, n, at: bulk.unpack_hex(p, n, at), "string")(packed, length, positions)
 
 
 def u16_hex(n: Column) -> Column:
@@ -109,8 +96,8 @@ def ambiguous_too_far(s: Column, most: int = MOST_AMBIGUOUS) -> Column:
 
 def scrambled(s: Column, row: Column, seed: str | int) -> Column:
     """The characters of s in an order decided by a hash of seed, row and place: same composition, whatever the partitioning."""
-    keyed = F.transform(chars(s), lambda c, i: F.struct(F.md5(F.concat_ws(":", F.lit(str(seed)), row.cast("string"), i.cast("string"))).alias("k"), c.alias("c")))
-    return F.array_join(F.transform(F.array_sort(keyed), lambda x: x["c"]), "")
+    seed = str(seed)
+    return F.arrow_udf(lambda v, rows: bulk.scrambled(v, rows, seed), "string")(s, row)
 
 
 def has_flag(flags: Column, bit: int) -> Column:

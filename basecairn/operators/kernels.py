@@ -15,7 +15,6 @@ for _i, _c in enumerate("ACGT"):
 _CLEAR = np.zeros(256, bool)
 _CLEAR[list(b"ACGTacgt")] = True
 _LETTERS = np.frombuffer(b"ACGT", np.uint8)
-_PLACE = np.array([1, 4, 16, 64], np.uint8)
 FILE_HEAD = struct.Struct("<4sBIB")
 BLOCK_HEAD = {1: struct.Struct("<8I"), 2: struct.Struct("<9I")}
 
@@ -30,11 +29,21 @@ def _starts(sizes: np.ndarray) -> np.ndarray:
 
 def pack(values: list[bytes]) -> bytes:
     """2-bit bases, each record from a byte of its own."""
-    flat, sizes = _flat(values)
-    room = (sizes + 3) // 4 * 4
-    out = np.zeros(int(room.sum()), np.uint8)
-    out[np.arange(len(flat)) + np.repeat(_starts(room) - _starts(sizes), sizes)] = _CODE[flat]
-    return (out.reshape(-1, 4) * _PLACE).sum(1, dtype=np.uint8).tobytes()
+    return packed(*_flat(values))[0].tobytes()
+
+
+def packed(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Packed bytes of values of these sizes that stand one after another, and how many bytes each takes."""
+    room = (sizes + 3) // 4
+    out = np.zeros(4 * int(room.sum()), np.uint8)
+    out[np.arange(len(flat)) + np.repeat(4 * _starts(room) - _starts(sizes), sizes)] = _CODE[flat]
+    four = out.reshape(-1, 4)
+    return four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6, room
+
+
+def unclear(flat: np.ndarray) -> np.ndarray:
+    """Which bytes are not ACGTacgt."""
+    return ~_CLEAR[flat]
 
 
 def unpack(data: bytes, sizes: np.ndarray) -> np.ndarray:
@@ -49,7 +58,7 @@ def unpack(data: bytes, sizes: np.ndarray) -> np.ndarray:
 def ambiguous(values: list[bytes], names: list[bytes]) -> bytes:
     """For each record a 16-bit count and 16-bit places."""
     flat, sizes = _flat(values)
-    at = np.flatnonzero(~_CLEAR[flat])
+    at = np.flatnonzero(unclear(flat))
     record = np.repeat(np.arange(len(sizes)), sizes)[at]
     place = at - _starts(sizes)[record]
     if len(place) and place.max() >= MOST_AMBIGUOUS:
@@ -108,7 +117,7 @@ def streams(headers: list[bytes], sequences: list[bytes], pluses: list[bytes], q
         "sequence": pack(sequences),
         "quality": delta(qualities, offset),
         "header": prefixed(headers, "header"),
-        "plus": prefixed(pluses, "plus line"),
+        "plus": prefixed(pluses, "plus-line payload"),
         "npos": ambiguous(sequences, headers),
         "lengths": np.fromiter(map(len, sequences), "<u4", len(sequences)).tobytes(),
     }
@@ -119,18 +128,31 @@ def compressed(data: bytes, level: int = 1) -> bytes:
 
 
 def decompressed(data: bytes, what: str, most: int | None = None) -> bytes:
+    """The content of one zstd frame, which its checksum covers; a frame of more than ``most`` bytes is refused before it is unpacked whole."""
     try:
+        if most is not None:
+            with zstandard.ZstdDecompressor().stream_reader(data) as reader:
+                if len(reader.read(most + 1)) > most:
+                    raise ValueError(f"decompressing {NAMES[what]}: larger than {most} bytes")
         d = zstandard.ZstdDecompressor().decompressobj()
         out = d.decompress(data)
     except zstandard.ZstdError as e:
-        raise ValueError(f"decompressing {what}: {e}") from e
+        raise ValueError(f"decompressing {NAMES[what]}: {e}") from e
     if not d.eof:
-        raise ValueError(f"decompressing {what}: truncated frame")
-    if most is not None and len(out) > most:
-        raise ValueError(f"decompressing {what}: larger than {most} bytes")
+        raise ValueError(f"decompressing {NAMES[what]}: truncated frame")
     return out
 
 
+#: The streams as messages name them, in frames and in what follows them.
+NAMES = {"sequence": "sequences", "quality": "quality", "header": "headers", "plus": "plus-line payload", "npos": "N positions", "lengths": "lengths"}
+CUT = {"sequence": "sequence", "quality": "quality", "header": "header", "plus": "plus-line payload", "npos": "N position", "lengths": "length"}
+
+
+def most_bytes(what: str, n: int, bases: int, qualities: int) -> int:
+    """The most bytes that a stream of n records with so many bases and qualities can have."""
+    return {"sequence": bases // 4 + n, "quality": qualities, "header": 65_537 * n, "plus": 65_537 * n, "npos": 2 * n + 2 * bases, "lengths": 4 * n}[what]
+
+
 def block_records(data: dict[str, bytes], n: int, offset: int) -> tuple[list[bytes], list[bytes], list[bytes], list[bytes]]:
     """Headers, sequences, plus lines and qualities from a block's uncompressed streams."""
     if len(data["lengths"]) < 4 * n:
@@ -140,11 +162,11 @@ def block_records(data: dict[str, bytes], n: int, offset: int) -> tuple[list[byt
     starts = _starts(sizes)
     marks, at = np.frombuffer(data["npos"][: len(data["npos"]) // 2 * 2], "<u2"), 0
     if len(marks) < n:
-        raise ValueError("truncated N-position data")
+        raise ValueError("truncated N position data")
     if len(marks) > n:
         for i in range(n):
             if at >= len(marks) or at + 1 + int(marks[at]) > len(marks):
-                raise ValueError("truncated N-position data")
+                raise ValueError("truncated N position data")
             if count := int(marks[at]):
                 place = marks[at + 1 : at + 1 + count].astype(np.int64)
                 if place.max() >= sizes[i]:
@@ -154,7 +176,7 @@ def block_records(data: dict[str, bytes], n: int, offset: int) -> tuple[list[byt
     s, q = bases.tobytes(), quality.tobytes()
     ends = starts + sizes
     cut = list(zip(starts.tolist(), ends.tolist(), strict=True))
-    pluses = unprefixed(data["plus"], n, "plus line") if "plus" in data else [b""] * n
+    pluses = unprefixed(data["plus"], n, "plus-line payload") if "plus" in data else [b""] * n
     return unprefixed(data["header"], n, "header"), [s[a:b] for a, b in cut], pluses, [q[a:b] for a, b in cut]
 
 
@@ -190,16 +212,44 @@ def parse_block_header(data: bytes, version: int) -> dict[str, int]:
     return {"num_records": n, **dict(zip(ORDER[version], sizes, strict=True)), "orig_seq_size": seq, "orig_qual_size": qual, "payload": sum(sizes)}
 
 
-def decode_block(data: bytes, version: int, offset: int):
-    """Records of one block from its bytes (header and streams); checks the sizes that the header notes."""
+def _block(data: bytes, version: int, wanted: set[str]) -> tuple[dict[str, int], dict[str, bytes]]:
+    """The header of a block and its wanted streams, unpacked."""
     head = parse_block_header(data, version)
     at, raw = BLOCK_HEAD[version].size, {}
     for k in ORDER[version]:
         if at + head[k] > len(data):
-            raise ValueError(f"truncated {k} data")
-        raw[k] = decompressed(data[at : at + head[k]], k)
+            raise ValueError(f"truncated {CUT[k]} data")
+        if k in wanted:
+            raw[k] = decompressed(data[at : at + head[k]], k, most_bytes(k, head["num_records"], head["orig_seq_size"], head["orig_qual_size"]))
         at += head[k]
+    return head, raw
+
+
+def decode_block(data: bytes, version: int, offset: int):
+    """Records of one block from its bytes (header and streams); checks the sizes that the header notes."""
+    head, raw = _block(data, version, set(ORDER[version]))
     out = block_records(raw, head["num_records"], offset)
     if sum(map(len, out[1])) != head["orig_seq_size"] or sum(map(len, out[3])) != head["orig_qual_size"]:
         raise ValueError("block sizes differ from the header's")
     return out
+
+
+#: The streams that a column needs.
+NEEDS = {"header": {"header"}, "sequence": {"sequence", "npos", "lengths"}, "plus": {"plus"}, "quality": {"quality", "lengths"}}
+
+
+def decode_columns(data: bytes, version: int, offset: int, columns: list[str]) -> tuple[int, dict[str, list[bytes]]]:
+    """How many records a block has, and its asked columns; other streams are not unpacked. All four columns are checked like decode_block."""
+    if set(columns) >= set(NEEDS):
+        out = dict(zip(("header", "sequence", "plus", "quality"), decode_block(data, version, offset), strict=True))
+        return len(out["header"]), out
+    head, raw = _block(data, version, set().union(*(NEEDS[c] for c in columns if c in NEEDS)))
+    n, out = head["num_records"], {}
+    for name in ("header", "plus"):
+        if name in columns:
+            out[name] = unprefixed(raw[name], n, CUT[name]) if name in raw else [b""] * n
+    if "lengths" in raw:
+        nothing = {"sequence": b"\0" * (head["orig_seq_size"] // 4 + n), "quality": b"\0" * head["orig_qual_size"], "npos": b"\0" * (2 * n), "header": b"\0" * (2 * n)}
+        _, sequences, _, qualities = block_records({k: raw.get(k, v) for k, v in nothing.items()} | {"lengths": raw["lengths"]}, n, offset)
+        out |= {k: v for k, v in (("sequence", sequences), ("quality", qualities)) if k in columns}
+    return n, out

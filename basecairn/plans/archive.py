@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,13 +11,13 @@ from pyspark.sql import functions as F
 
 from ..functions import reads as R
 from ..operators import kernels
-from ..schema import BLOCK_RECORDS, DETECT_RECORDS, PHRED33
+from ..schema import BLOCK_RECORDS, DETECT_RECORDS, FLAG_PAIRED, PHRED33
 from ..session import ship
 from ..sources import container, fastq
 
 
 def detect_offset(reads: DataFrame) -> int:
-    """The quality offset of a file's first records: a pruned aggregate over record_idx and quality."""
+    """The quality offset of a file's first records."""
     low = reads.where(F.col("record_idx") < DETECT_RECORDS).agg(F.min(R.lowest_code(F.col("quality"))).alias("low")).select(R.phred_offset(F.col("low")).alias("o")).first()
     return low.o if low else PHRED33
 
@@ -46,10 +47,18 @@ def encode(reads: DataFrame, offset: int | None = None, level: int = 1) -> DataF
         raw = kernels.streams(*cols, offset)
         out = {"file": [table.column("file")[0].as_py()], "block_idx": [table.column("block_idx")[0].as_py()], "num_records": [table.num_rows]}
         out |= {f"{k}_data": [kernels.compressed(v, level)] for k, v in raw.items()}
+        out["crc32"] = pa.array([_crc32(out[f"{k}_data"][0] for k in kernels.ORDER[2])], pa.int64())
         return pa.table(out | {"orig_seq_size": [sum(map(len, cols[1]))], "orig_qual_size": [sum(map(len, cols[3]))], "phred_offset": pa.array([offset], pa.int32())})
 
     streams = ", ".join(f"{k}_data binary" for k in kernels.ORDER[2])
-    return reads.select("file", "block_idx", "record_idx", "header", "sequence", "plus", "quality", "phred_offset").groupBy("file", "block_idx").applyInArrow(run, f"file string, block_idx long, num_records long, {streams}, orig_seq_size long, orig_qual_size long, phred_offset int")
+    return reads.select("file", "block_idx", "record_idx", "header", "sequence", "plus", "quality", "phred_offset").groupBy("file", "block_idx").applyInArrow(run, f"file string, block_idx long, num_records long, {streams}, crc32 long, orig_seq_size long, orig_qual_size long, phred_offset int")
+
+
+def _crc32(parts) -> int:
+    out = 0
+    for p in parts:
+        out = zlib.crc32(p, out)
+    return out
 
 
 def decode(blocks: DataFrame, block_records: int = BLOCK_RECORDS) -> DataFrame:
@@ -57,17 +66,21 @@ def decode(blocks: DataFrame, block_records: int = BLOCK_RECORDS) -> DataFrame:
     ship(blocks.sparkSession)
     if "file" not in blocks.columns:
         blocks = blocks.withColumn("file", F.lit(""))
+    if "crc32" not in blocks.columns:
+        blocks = blocks.withColumn("crc32", F.lit(None).cast("long"))
     names = kernels.ORDER[2]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                raw = {k: kernels.decompressed(row[f"{k}_data"], k) for k in names}
+                if row["crc32"] is not None and row["crc32"] != _crc32(row[f"{k}_data"] for k in names):
+                    raise ValueError(f"checksum of block {row['block_idx']} differs")
+                raw = {k: kernels.decompressed(row[f"{k}_data"], k, kernels.most_bytes(k, row["num_records"], row["orig_seq_size"], row["orig_qual_size"])) for k in names}
                 cols = kernels.block_records(raw, row["num_records"], row["phred_offset"])
                 n, first = row["num_records"], row["block_idx"] * block_records
                 yield pa.RecordBatch.from_arrays([pa.array([row["file"]] * n, pa.string()), pa.array([row["block_idx"]] * n, pa.int64()), pa.array(range(first, first + n), pa.int64()), *(pa.array(c, pa.binary()) for c in cols)], ["file", "block_idx", "record_idx", "header", "sequence", "plus", "quality"])
 
-    out = blocks.select("file", "block_idx", "num_records", *(f"{k}_data" for k in names), "phred_offset").mapInArrow(run, "file string, block_idx long, record_idx long, header binary, sequence binary, plus binary, quality binary")
+    out = blocks.select("file", "block_idx", "num_records", *(f"{k}_data" for k in names), "phred_offset", "crc32", "orig_seq_size", "orig_qual_size").mapInArrow(run, "file string, block_idx long, record_idx long, header binary, sequence binary, plus binary, quality binary")
     return out.withColumns({c: F.col(c).cast("string") for c in ("header", "sequence", "plus", "quality")})
 
 
@@ -80,30 +93,40 @@ def read_archive(spark: SparkSession, path: str, block_records: int = BLOCK_RECO
     return decode(spark.read.parquet(path), block_records)
 
 
-def compress(spark: SparkSession, source: str, target: str, block_records: int = BLOCK_RECORDS, magic: bool = False, mode: str = "strict", offset: int | None = None) -> None:
-    """FASTQ to a container file."""
+def compress(spark: SparkSession, source: str, target: str, block_records: int = BLOCK_RECORDS, magic: bool = True, mode: str = "strict", offset: int | None = None, paired: bool = False) -> None:
+    """FASTQ, plain or gzip by name or first bytes, to a container file. A container holds one file: for several use write_archive()."""
     ship(spark)
     container.register(spark)
     reads = fastq.read_fastq(spark, source, mode, block_records, magic)
     refused = F.raise_error(F.format_string("record '%s': sequence length %d has ambiguous bases beyond position 65536", "header", F.length("sequence")))
     reads = reads.withColumn("sequence", F.when(R.ambiguous_too_far(F.col("sequence")), refused).otherwise(F.col("sequence")))
+    if len(found := spark.read.format("binaryFile").load(source).select("path").limit(2).collect()) > 1:
+        raise ValueError(f"a container holds one file; {source} has several, such as {found[0].path}")
     offset = detect_offset(reads) if offset is None else offset
-    write_container(reads, target, offset, block_records)
+    write_container(reads, target, offset, block_records, flags=FLAG_PAIRED if paired else 0)
 
 
-def write_container(reads: DataFrame, target: str, offset: int, block_records: int = BLOCK_RECORDS, version: int = 2) -> None:
+def write_container(reads: DataFrame, target: str, offset: int, block_records: int = BLOCK_RECORDS, version: int = 2, flags: int = 0) -> None:
+    """Reads of one file to a container. flags are kept in its header; the bit of the offset is set by the offset."""
     ship(reads.sparkSession)
     container.register(reads.sparkSession)
     n = int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     raw = [F.col(c).cast("binary").alias(c) for c in ("header", "sequence", "plus", "quality")]
     rows = reads.repartition(n, "block_idx").sortWithinPartitions("block_idx", "record_idx").select("block_idx", "record_idx", *raw)
-    rows.write.format("fqz").option("offset", offset).option("blockRecords", block_records).option("version", version).mode("append").save(target)
+    rows.write.format("fqz").option("offset", offset).option("blockRecords", block_records).option("version", version).option("flags", flags).mode("append").save(target)
 
 
-def read_container(spark: SparkSession, source: str) -> DataFrame:
+def read_container(spark: SparkSession, source: str, columns: list[str] | None = None) -> DataFrame:
+    """Records of a container, or only these columns of them: streams of other columns are not unpacked."""
     ship(spark)
     container.register(spark)
-    return spark.read.format("fqz").load(source)
+    fields = [f for f in container.SCHEMA.split(", ") if columns is None or f.split()[0] in columns]
+    return spark.read.format("fqz").schema(", ".join(fields)).load(source)
+
+
+def flags(source: str) -> int:
+    """The flags in a container's header."""
+    return container.block_headers(container._local(source))[0][2]
 
 
 def decompress(spark: SparkSession, source: str, target: str) -> None:
@@ -127,4 +150,5 @@ def info(spark: SparkSession, source: str) -> DataFrame:
 
 def check(spark: SparkSession, source: str) -> int:
     """Decodes everything and returns the number of records; damage raises."""
-    return read_container(spark, source).count()
+    whole = F.sum(sum((F.octet_length(c) for c in ("header", "sequence", "plus", "quality")), F.lit(0)))
+    return read_container(spark, source).agg(F.count("*").alias("n"), whole.alias("bytes")).first().n

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import reads as R
 from ..operators import kernels
 from ..schema import FLAG_PAIRED, FLAG_PHRED64
-from ..sources import fastq
+from ..sources import container, fastq
 from . import archive
 from .synth import ORDER, numbered, reads, reads_sql
 
@@ -26,6 +27,8 @@ ORACLES: dict[str, str] = {}
 def _scratch(spark: SparkSession, tag: str) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="basecairn-"))
         base = spark.sparkContext.getCheckpointDir()
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
@@ -210,20 +213,24 @@ def fastq_lines_roundtrip(spark, sf_dir):
     """Records written as text parts in order and read again as one numbered text."""
     path = _scratch(spark, "fastq")
     fastq.write_fastq(_source(spark, sf_dir), path)
-    back = fastq.read_fastq(spark, path, block_records=BLOCK)
-    return back.select("header", "sequence", "plus", "quality").join(_source(spark, sf_dir).select("header", "record_idx"), "header").select("record_idx", "header", "sequence", "plus", "quality")
+    return _in_order(fastq.read_fastq(spark, path, block_records=BLOCK)).select("record_idx", "header", "sequence", "plus", "quality")
+
+
+def _in_order(back: DataFrame) -> DataFrame:
+    """Records of part files numbered through, by the order of the files and of the scan's record_idx in each."""
+    from pyspark.sql import Window
+
+    back = back.withColumn("part", F.regexp_extract("file", "part-([0-9]+)", 1))
+    first = back.groupBy("part").agg((F.max("record_idx") + 1).alias("n")).select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
+    return back.join(F.broadcast(first), "part").withColumn("record_idx", C("first") + C("record_idx"))
 
 
 @_of(f"select header, record_idx from {RECORDS}")
 def ordered_output(spark, sf_dir):
     """Text parts ascend: the order of files and of records in them gives record_idx back."""
-    from pyspark.sql import Window
-
     path = _scratch(spark, "ordered")
     fastq.write_fastq(_source(spark, sf_dir), path)
-    back = fastq.read_fastq(spark, path, block_records=BLOCK).withColumn("part", F.regexp_extract("file", "part-([0-9]+)", 1))
-    first = back.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
-    return back.join(F.broadcast(first), "part").select("header", (C("first") + C("record_idx")).alias("record_idx"))
+    return _in_order(fastq.read_fastq(spark, path, block_records=BLOCK)).select("header", "record_idx")
 
 
 DECODED = f"select record_idx, block_idx, header, {CANON.replace('seq', 'sequence')} as sequence, {{}} as plus, quality from {RECORDS}"
@@ -252,21 +259,60 @@ def container_v1_read(spark, sf_dir):
     return _container(spark, sf_dir, 1)
 
 
+@_of(f"select block_idx, count(*)::bigint as num_records, sum(length(sequence))::bigint as orig_seq_size, sum(length(quality))::bigint as orig_qual_size, true as smaller from {RECORDS} group by 1")
+def container_info(spark, sf_dir):
+    """What the headers of a container's blocks tell, read without their payload."""
+    path = _scratch(spark, "container") + ".fqz"
+    archive.write_container(_source(spark, sf_dir), path, 33, BLOCK)
+    return archive.info(spark, path).select("block_idx", "num_records", "orig_seq_size", "orig_qual_size", (C("compressed_size") < C("orig_seq_size") + C("orig_qual_size") + 64 * C("num_records")).alias("smaller"))
+
+
+FILES = 3
+
+
+@_of(
+    f"""select k, record_idx, header, {CANON.replace('seq', 'sequence')} as sequence, plus, quality from (select l_partkey % {FILES} as k, row_number() over (partition by l_partkey % {FILES} order by {', '.join(ORDER)}) - 1 as record_idx,
+    rid as header, seq as sequence, case when l_partkey % 5 = 0 then rid else '' end as plus, qual as quality from {reads_sql(varied=True)})"""
+)
+def multi_file_roundtrip(spark, sf_dir):
+    """Three files, plain, gzip by name and gzip by its first bytes, read as one folder, archived by file and block, and restored."""
+    path = _scratch(spark, "files")
+    r = _source(spark, sf_dir).withColumn("k", F.substring_index(F.substring_index("header", "-", 3), "-", -1).cast("long") % FILES)
+    for k in range(FILES):
+        lines = r.where(C("k") == k).coalesce(1).sortWithinPartitions("record_idx").select(R.fastq_text(C("header"), C("sequence"), C("plus"), C("quality")).alias("value"))
+        lines.write.option("compression", "none" if k == 0 else "gzip").text(f"{path}/file={k}")
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(f"{path}/file={FILES - 1}")
+    fs = folder.getFileSystem(conf)
+    for f in fs.listStatus(folder):
+        if f.getPath().getName().endswith(".gz"):
+            fs.rename(f.getPath(), jvm.org.apache.hadoop.fs.Path(folder, f.getPath().getName().removesuffix(".txt.gz")))
+    reads_ = fastq.read_fastq(spark, [f"{path}/file={k}/part-*" for k in range(FILES)], block_records=BLOCK, magic=True)
+    archive.write_archive(reads_, f"{path}/archive")
+    back = archive.read_archive(spark, f"{path}/archive", BLOCK)
+    return back.select(F.regexp_extract("file", "file=([0-9]+)/", 1).cast("long").alias("k"), "record_idx", "header", "sequence", "plus", "quality")
+
+
 @_of("select * from (values ('flipped', true), ('magic', true), ('truncated', true), ('version', true), ('whole', false)) t(damage, refused)")
 def corruption_detect(spark, sf_dir):
-    """A small container, damaged in each way, is refused."""
-    block = kernels.encode_block([b"r1", b"r2"], [b"ACGTN", b"GG"], [b"", b"x"], [b"IIIII", b"##"], 33)
-    good = kernels.file_header(33, BLOCK) + block
+    """A container of reads, damaged in each way, is refused by the reader."""
+    path = container._local(_scratch(spark, "damage") + ".fqz")
+    archive.write_container(_source(spark, sf_dir).where(C("record_idx") < 3 * BLOCK), path, 33, BLOCK)
+    with open(path, "rb") as f:
+        good = f.read()
     flipped = bytearray(good)
-    flipped[60] ^= 1
+    flipped[len(good) // 2] ^= 1
     cases = {"whole": good, "flipped": bytes(flipped), "magic": b"X" + good[1:], "version": good[:4] + b"\x07" + good[5:], "truncated": good[:-3]}
     rows = []
     for name, data in cases.items():
+        with open(f"{path}.{name}", "wb") as f:
+            f.write(data)
         try:
-            version, _, _, offset = kernels.parse_file_header(data)
-            kernels.decode_block(data[kernels.FILE_HEAD.size :], version, offset)
+            archive.check(spark, f"{path}.{name}")
             rows.append((name, False))
-        except ValueError:
+        except Exception as e:  # noqa: BLE001
+            if not any(x in str(e) for x in ("magic", "version", "truncated", "decompressing", "block sizes", "N position")):
+                raise
             rows.append((name, True))
     return spark.createDataFrame(rows, "damage string, refused boolean")
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 RID = "concat(cast(l_orderkey as string), '-', cast(l_linenumber as string), '-', cast(l_partkey as string), '-', cast(l_suppkey as string), '-', cast(cast(round(l_extendedprice * 100) as bigint) as string))"
 ALPHABETS = {"plain": "ACGTACGTACGTACGN", "mixed": "ACGTacgtACGTRYKn"}
 QUALITIES = {33: "#(/5:?DI#(/5:?DI", 64: "@JT^hBLV@JT^hBLV"}
@@ -12,6 +14,7 @@ QUALITIES = {33: "#(/5:?DI#(/5:?DI", 64: "@JT^hBLV@JT^hBLV"}
 
 def reads(spark: SparkSession, sf_dir: str, bases: str = "plain", offset: int = 33, varied: bool = False) -> DataFrame:
     """rid, l_partkey, l_orderkey, seq, qual: 64 bp, or 1 to 64 bp if varied."""
+    ship(spark)
     t = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("rid", F.expr(RID))
     cut = "substr({}, 1, cast(1 + l_partkey % 64 as int))" if varied else "{}"
     seq = f"translate(concat(md5(rid), md5(concat(rid, 'x'))), '0123456789abcdef', '{ALPHABETS[bases]}')"
@@ -31,14 +34,11 @@ def reads_sql(bases: str = "plain", offset: int = 33, varied: bool = False) -> s
 ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
 
 
-def numbered(df: DataFrame, buckets: int = 64) -> DataFrame:
-    """df with record_idx in ORDER from 0: a range partition on the key, rows counted by range, ranks inside each range."""
-    from pyspark.sql import Window
-
-    n = df.count()
-    cuts = sorted(set(df.approxQuantile("l_orderkey", [i / buckets for i in range(1, buckets)], 0.002))) if n else []
-    place = F.size(F.filter(F.array(*[F.lit(int(c)) for c in cuts]) if cuts else F.array().cast("array<int>"), lambda c: c < F.col("l_orderkey")))
-    placed = df.withColumn("range", place)
+def numbered(df: DataFrame, rows: int = 50_000) -> DataFrame:
+    """df with record_idx in ORDER from 0: ranges of about ``rows`` rows on the key, rows counted by range, ranks inside each range."""
+    n, low, high = df.agg(F.count("*"), F.min("l_orderkey"), F.max("l_orderkey")).first()
+    width = max(1, -(-((high or 0) - (low or 0) + 1) // max(64, -(-n // rows))))
+    placed = df.withColumn("range", F.floor((F.col("l_orderkey") - (low or 0)) / width))
     first = placed.groupBy("range").count().select("range", F.coalesce(F.sum("count").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
     rank = F.row_number().over(Window.partitionBy("range").orderBy(*ORDER)) - 1
     return placed.join(F.broadcast(first), "range").withColumn("record_idx", (F.col("first") + rank).cast("long")).drop("range", "first")

@@ -17,7 +17,7 @@ READS = StructType([StructField("file", StringType()), StructField("record_idx",
 BLOCKS = StructType(
     [StructField("file", StringType()), StructField("block_idx", LongType()), StructField("num_records", LongType())]
     + [StructField(f"{s}_data", BinaryType()) for s in STREAMS]
-    + [StructField("orig_seq_size", LongType()), StructField("orig_qual_size", LongType()), StructField("phred_offset", IntegerType())]
+    + [StructField("crc32", LongType()), StructField("orig_seq_size", LongType()), StructField("orig_qual_size", LongType()), StructField("phred_offset", IntegerType())]
 )
 
 # messages that callers of the format know

@@ -1,6 +1,7 @@
 """The versioned block container as a data source: spark.read.format("fqz"), df.write.format("fqz").
 
-Reading plans one partition for each block by hopping over block headers; the schema's columns decide which streams are decoded.
+Reading plans one partition for each block by hopping over block headers and gives arrow batches. Spark passes a Python source the schema
+it was asked for by ``schema()``, not a query's columns: ``read_container(columns=...)`` names them, and streams of others are not unpacked.
 Writing: each task encodes its blocks to a file of its own beside the target, commit joins them in block order and renames; a failed job leaves nothing.
 Paths must be open to Python on driver and executors (a mounted file system); elsewhere use the Parquet archive.
 """
@@ -12,12 +13,15 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from ..operators import kernels
 
+BATCH = 20_000
 SCHEMA = "block_idx long, record_idx long, header binary, sequence binary, plus binary, quality binary"
 
 
@@ -61,16 +65,17 @@ class _Reader(DataSourceReader):
         (version, _, _, offset), blocks = block_headers(self.path)
         return [_Block(b["at"], b["length"], b["first"], b["block_idx"], version, offset) for b in blocks]
 
-    def read(self, partition: _Block) -> Iterator[tuple]:
+    def read(self, partition: _Block) -> Iterator[pa.RecordBatch]:
         if partition is None:
             return
         with open(self.path, "rb") as f:
             f.seek(partition.at)
             data = f.read(partition.length)
-        headers, sequences, pluses, qualities = kernels.decode_block(data, partition.version, partition.offset)
-        n = len(headers)
-        columns = {"block_idx": [partition.block_idx] * n, "record_idx": range(partition.first, partition.first + n), "header": headers, "sequence": sequences, "plus": pluses, "quality": qualities}
-        yield from zip(*(columns[c] for c in self.names), strict=True)
+        n, found = kernels.decode_columns(data, partition.version, partition.offset, self.names)
+        for lo in range(0, n, BATCH):
+            hi = min(n, lo + BATCH)
+            ids = {"block_idx": lambda: pa.array([partition.block_idx] * (hi - lo), pa.int64()), "record_idx": lambda: pa.array(range(partition.first + lo, partition.first + hi), pa.int64())}
+            yield pa.RecordBatch.from_arrays([ids[c]() if c in ids else pa.array(found[c][lo:hi], pa.binary()) for c in self.names], self.names)
 
 
 @dataclass
@@ -78,30 +83,33 @@ class _Written(WriterCommitMessage):
     parts: list
 
 
-class _Writer(DataSourceWriter):
-    def __init__(self, path: str, schema: StructType, offset: int, block_records: int, version: int):
-        self.path, self.names, self.offset, self.block_records, self.version = path, schema.fieldNames(), offset, block_records, version
+class _Writer(DataSourceArrowWriter):
+    def __init__(self, path: str, offset: int, block_records: int, version: int, flags: int):
+        self.path, self.offset, self.block_records, self.version, self.flags = path, offset, block_records, version, flags
         self.work = f"{path}.{uuid.uuid4().hex}"
 
-    def write(self, rows: Iterator) -> _Written:
-        at = {c: self.names.index(c) for c in ("block_idx", "header", "sequence", "plus", "quality")}
+    def write(self, batches: Iterator[pa.RecordBatch]) -> _Written:
         parts, block, held = [], None, []
 
         def flush() -> None:
-            raw = lambda v: bytes(v) if isinstance(v, (bytes, bytearray)) else str(v).encode()
-            cols = [[raw(r[at[c]]) for r in held] for c in ("header", "sequence", "plus", "quality")]
+            cols = [[v for h in held for v in h.column(c).cast(pa.binary()).to_pylist()] for c in ("header", "sequence", "plus", "quality")]
             os.makedirs(self.work, exist_ok=True)
             name = f"{self.work}/{block:012d}-{uuid.uuid4().hex}"
             with open(name, "wb") as f:
                 f.write(kernels.encode_block(*cols, self.offset, self.version))
             parts.append((block, name))
 
-        for row in rows:
-            if held and row[at["block_idx"]] != block:
-                flush()
-                held = []
-            block = row[at["block_idx"]]
-            held.append(row)
+        for batch in batches:
+            blocks = batch.column(batch.schema.get_field_index("block_idx")).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if lo == hi:
+                    continue
+                if held and blocks[lo] != block:
+                    flush()
+                    held = []
+                block = int(blocks[lo])
+                held.append(batch.slice(lo, hi - lo))
         if held:
             flush()
         return _Written(parts)
@@ -112,7 +120,7 @@ class _Writer(DataSourceWriter):
             self.abort(messages)
             raise ValueError("rows of a block must come in one task, together")
         with open(f"{self.path}.tmp", "wb") as out:
-            out.write(kernels.file_header(self.offset, self.block_records, self.version))
+            out.write(kernels.file_header(self.offset, self.block_records, self.version, self.flags))
             for _, name in parts:
                 with open(name, "rb") as f:
                     while chunk := f.read(1 << 20):
@@ -138,8 +146,8 @@ class ContainerSource(DataSource):
     def reader(self, schema: StructType) -> DataSourceReader:
         return _Reader(_local(self.options["path"]), schema)
 
-    def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
-        return _Writer(_local(self.options["path"]), schema, int(self.options.get("offset", "33")), int(self.options.get("blockRecords", "100000")), int(self.options.get("version", "2")))
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
+        return _Writer(_local(self.options["path"]), int(self.options.get("offset", "33")), int(self.options.get("blockRecords", "100000")), int(self.options.get("version", "2")), int(self.options.get("flags", "0")))
 
 
 def register(spark: SparkSession) -> None:

@@ -1,7 +1,8 @@
 """FASTQ text: a scan that splits files at any byte, and the text sink.
 
 Lines are numbered exactly (a quality may begin with @ or +): rows are counted for each file split, a prefix sum over
-the splits of a file gives each split its first line number, and four lines make a record by one shuffle on (file, record).
+the splits of a file gives each split its first line number (a join with one row for each split, broadcast up to ``MOST_SPLITS`` of
+them), and four lines make a record by one shuffle on (file, record).
 """
 
 from __future__ import annotations
@@ -18,6 +19,10 @@ from ..functions.reads import fastq_text
 from ..schema import BAD_HEADER, BAD_LENGTHS, BAD_PLUS, BLOCK_RECORDS, INCOMPLETE
 
 
+#: Files and splits up to which the splits' first line numbers are broadcast.
+MOST_SPLITS = 100_000
+
+
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """file, ln (from 0), value without one trailing carriage return, terminated (the file ends with a line feed).
 
@@ -28,14 +33,19 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     before = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("file")
     offsets = splits.select("file", "at", "m0", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"), (F.lower("file").endswith(".gz") | (F.sum("bytes").over(whole) == F.col("file_size"))).alias("terminated"))
+    offsets = F.broadcast(offsets) if len(text.inputFiles()) <= MOST_SPLITS and text.rdd.getNumPartitions() <= MOST_SPLITS else offsets
     return raw.drop("file_size").join(offsets, ["file", "at"]).select("file", (F.col("first") + F.col("mid") - F.col("m0")).alias("ln"), F.regexp_replace("value", "\r$", "").alias("value"), "terminated")
 
 
 def by_magic(spark: SparkSession, path: str | list[str]) -> tuple[list[str], list[str]]:
-    """The files of a path: those whose first bytes are gzip's, and all others. The driver reads two bytes of each."""
+    """The files of a path: those whose first bytes are gzip's though they don't end in .gz (which Spark's codec reads), and all others.
+    The driver reads two bytes of each file that doesn't end in .gz."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     zipped, others = [], []
     for r in spark.read.format("binaryFile").load(path).select("path").distinct().orderBy("path").collect():
+        if r.path.endswith(".gz"):
+            others.append(r.path)
+            continue
         at = jvm.org.apache.hadoop.fs.Path(r.path)
         stream = at.getFileSystem(conf).open(at)
         try:
@@ -90,8 +100,9 @@ def assemble(lines: DataFrame, mode: str = "strict", block_records: int = BLOCK_
     mode "strict": a bad record fails the query; "tag": adds the column problem instead; "lenient": an unterminated last line and
     an incomplete last record are dropped, other bad records fail."""
     if mode == "lenient":
-        last = F.max("ln").over(Window.partitionBy("file"))
-        lines = lines.withColumn("last", last).where(F.col("terminated") | (F.col("ln") < F.col("last"))).drop("last")
+        # one row for each file
+        ends = lines.where(~F.col("terminated")).groupBy("file").agg(F.max("ln").alias("last"))
+        lines = lines.join(ends, "file", "left").where(F.col("last").isNull() | (F.col("ln") < F.col("last"))).drop("last")
     part = lambda k: F.max(F.when(F.col("ln") % 4 == k, F.col("value"))).alias(f"l{k}")
     r = lines.groupBy("file", F.floor(F.col("ln") / 4).alias("record_idx")).agg(*(part(k) for k in range(4)), F.count("*").alias("n"))
     if mode == "lenient":
