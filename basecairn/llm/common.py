@@ -69,6 +69,13 @@ def release(spark: SparkSession) -> None:
     drop(spark, *_MADE)
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """name, or one like it that no column has."""
+    while name in columns:
+        name += "_"
+    return name
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)

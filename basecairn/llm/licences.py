@@ -22,6 +22,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 #: Known sentences, normalised, by identifier. Public licence texts' own words.
 SENTENCES = {
     "ccbync4": ["licensed under cc by nc 4 0", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"],
@@ -209,8 +211,9 @@ def scanned(docs: DataFrame) -> DataFrame:
 
     both = F.get(F.transform(F.array(found), matched), 0)
     kept = docs.drop("sentence_ids", "licences")
-    out = kept.select("*", both.alias("__found"))
-    return out.select(*[f"`{c}`" for c in kept.columns], F.col("__found.ids").alias("sentence_ids"), F.col("__found.names").alias("licences"))
+    name = fresh("__found", kept.columns)
+    out = kept.select("*", both.alias(name))
+    return out.select(*[f"`{c}`" for c in kept.columns], F.col(f"{name}.ids").alias("sentence_ids"), F.col(f"{name}.names").alias("licences"))
 
 
 def oracle(columns: str) -> str:

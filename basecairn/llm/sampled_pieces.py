@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StringType, StructField, StructType
 
-from .common import prepare
+from .common import fresh, prepare
 
 SAMPLES = 2
 TEMPER = 1.0
@@ -470,8 +470,8 @@ def sampled(
                     yield pa.RecordBatch.from_arrays([*(c.slice(lo, i + 1 - lo) for c in batch.columns[: len(names)]), _column(found)], names=[*names, "pieces"])
                     lo, size = i + 1, 0
 
-    text = [F.col("text").cast("string").alias("__text")] if at == len(kept) else []
-    wide = docs.select(*(F.col(f"`{n}`") for n in names), *text, F.coalesce(key.cast("string"), F.lit("null")).alias("__key"))
+    text = [F.col("text").cast("string").alias(fresh("__text", names))] if at == len(kept) else []
+    wide = docs.select(*(F.col(f"`{n}`") for n in names), *text, F.coalesce(key.cast("string"), F.lit("null")).alias(fresh("__key", names)))
     return wide.mapInArrow(run, StructType([*kept, StructField("pieces", _parse(SCHEMA))]))
 
 
