@@ -38,6 +38,8 @@ SIMILARITY = 75  # per cent
 SKETCH = 96
 #: Standard deviations between the mean of shared values of a pair at the threshold and the least that is asked for.
 DEVIATIONS = 6.0
+#: How many of the next rarer values a value in an exact prefix carries.
+RARER = 32
 _SIGN = np.uint64(1 << 63)
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
@@ -212,15 +214,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sketch: int = SKETCH,
     ranked = values.join(rest, "digest").join(common, "value").groupBy("digest", "n_shingles", "root").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("listed")).withColumn("possible", F.size("listed").cast("long"))
     ahead = lambda share: (F.col("possible") - F.ceil(F.col("n_shingles") * share[0] / share[1]) + 1).cast("int")
     long, short = ahead((similarity, 100)), ahead((2 * similarity, 100 + similarity))
+    before = f"transform(slice(listed, 1, long), (x, i) -> named_struct('at', i, 'value', x.value, 'rarer', transform(slice(listed, greatest(i - {RARER - 1}, 1), least(i, {RARER})), y -> y.value)))"
     prefixes, prefixes_at = written(
         spark,
-        ranked.withColumns({"long": long, "short": short}).where("long > 0").select("digest", "n_shingles", "possible", "root", "short", "listed", F.posexplode(F.expr("slice(listed, 1, long)")).alias("at", "x"))
-        .select("digest", "n_shingles", (F.col("possible") - F.col("at")).alias("possible"), "root", F.expr("at < short").alias("short"), F.col("x.value").alias("value"), F.expr("transform(slice(listed, 1, at), y -> y.value)").alias("rarer")),
+        ranked.withColumns({"long": long, "short": short}).where("long > 0").select("digest", "n_shingles", "possible", "root", "short", F.explode(F.expr(before)).alias("x"))
+        .select("digest", "n_shingles", (F.col("possible") - F.col("x.at")).alias("possible"), "root", F.expr("x.at < short").alias("short"), "x.value", "x.rarer"),
         "prefixes",
     )
     side = lambda x: prefixes.select("value", F.col("short").alias(f"short_{x}"), F.col("digest").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("possible").alias(f"possible_{x}"), F.col("root").alias(f"root_{x}"), F.col("rarer").alias(f"rarer_{x}"))
-    # a pair comes once, from the rarest value that both list; what is rarer is not shared, so `possible` counts from there on
-    second = side("a").where("short_a").join(side("b"), "value").where("(n_a < n_b or n_a = n_b and a < b) and root_a <> root_b").where(_reachable("a", "b", similarity)).where(~F.arrays_overlap("rarer_a", "rarer_b")).select(*pair)
+    # a pair comes from the rarest value that both list; what is rarer is not shared, so `possible` counts from there on. It may come
+    # again only where none of the next rarer ones is shared
+    second = side("a").where("short_a").join(side("b"), "value").where("(n_a < n_b or n_a = n_b and a < b) and root_a <> root_b").where(_reachable("a", "b", similarity)).where(~F.arrays_overlap("rarer_a", "rarer_b")).select(*pair).dropDuplicates(["a", "b"])
     more, more_at = _confirmed(spark, second, reps, sets, sketch, similarity)
     final, final_at = connected_components(spark, links.union(held).union(more))
     grouped = classes.join(final.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "rep", F.coalesce("root", "digest").alias("root"))
