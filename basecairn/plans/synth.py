@@ -12,10 +12,22 @@ ALPHABETS = {"plain": "ACGTACGTACGTACGN", "mixed": "ACGTacgtACGTRYKn"}
 QUALITIES = {33: "#(/5:?DI#(/5:?DI", 64: "@JT^hBLV@JT^hBLV"}
 
 
+#: Bytes that one task reads well; a table of fewer for each core may be one row group, which one task reads whole.
+TASK_BYTES = 128 << 20
+
+
+def _spread(t: DataFrame) -> DataFrame:
+    """t dealt over all cores where it is so small that its row groups may be fewer than them; else as the scan splits it."""
+    cores = t.sparkSession.sparkContext.defaultParallelism
+    size = int(str(t._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return t.repartition(cores) if size < cores * TASK_BYTES else t
+
+
 def reads(spark: SparkSession, sf_dir: str, bases: str = "plain", offset: int = 33, varied: bool = False) -> DataFrame:
     """rid, l_partkey, l_orderkey, seq, qual: 64 bp, or 1 to 64 bp if varied."""
     ship(spark)
-    t = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("rid", F.expr(RID))
+    t = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    t = _spread(t).withColumn("rid", F.expr(RID))
     cut = "substr({}, 1, cast(1 + l_partkey % 64 as int))" if varied else "{}"
     seq = f"translate(concat(md5(rid), md5(concat(rid, 'x'))), '0123456789abcdef', '{ALPHABETS[bases]}')"
     qual = f"translate(concat(md5(concat(rid, 'q')), md5(concat(rid, 'r'))), '0123456789abcdef', '{QUALITIES[offset]}')"
