@@ -27,6 +27,16 @@ def file_offsets(reads: DataFrame) -> DataFrame:
     return reads.where(F.col("record_idx") < DETECT_RECORDS).groupBy("file").agg(F.min(R.lowest_code(F.col("quality"))).alias("low")).select("file", R.phred_offset(F.col("low")).alias("phred_offset"))
 
 
+#: Files up to which their quality offsets are broadcast.
+MOST_FILES = 10_000
+
+
+def _few(offsets: DataFrame) -> DataFrame:
+    """offsets, found once and marked for broadcast if they are few; else the join shuffles."""
+    rows = offsets.limit(MOST_FILES + 1).collect()
+    return F.broadcast(offsets.sparkSession.createDataFrame(rows, offsets.schema)) if len(rows) <= MOST_FILES else offsets
+
+
 def block_stats(reads: DataFrame) -> DataFrame:
     return reads.groupBy("block_idx").agg(F.count("*").alias("num_records"), F.sum(F.octet_length("sequence")).alias("orig_seq_size"), F.sum(F.octet_length("quality")).alias("orig_qual_size"))
 
@@ -38,7 +48,7 @@ def encode(reads: DataFrame, offset: int | None = None, level: int = 1) -> DataF
     ship(reads.sparkSession)
     if "file" not in reads.columns:
         reads = reads.withColumn("file", F.lit(""))
-    reads = reads.join(file_offsets(reads), "file", "left").fillna(PHRED33, ["phred_offset"]) if offset is None else reads.withColumn("phred_offset", F.lit(offset).cast("int"))
+    reads = reads.join(_few(file_offsets(reads)), "file", "left").fillna(PHRED33, ["phred_offset"]) if offset is None else reads.withColumn("phred_offset", F.lit(offset).cast("int"))
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("record_idx")
@@ -72,7 +82,7 @@ def decode(blocks: DataFrame, block_records: int = BLOCK_RECORDS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
                 if row["crc32"] is not None and row["crc32"] != _crc32(row[f"{k}_data"] for k in names):
                     raise ValueError(f"checksum of block {row['block_idx']} differs")
                 raw = {k: kernels.decompressed(row[f"{k}_data"], k, kernels.most_bytes(k, row["num_records"], row["orig_seq_size"], row["orig_qual_size"])) for k in names}

@@ -224,3 +224,56 @@ def test_stream_ingestion_keeps_files_apart(spark, tmp_path):
     assert got == [("a.fq", 0, 5, 33), ("a.fq", 1, 5, 33), ("a.fq", 2, 2, 33), ("b.fq", 0, 5, 64), ("b.fq", 1, 3, 64)]
     decoded = archive.read_archive(spark, str(tmp_path / "out"), 5)
     assert all(rows(decoded.where(decoded.file.endswith("/" + name))) == records for name, records in files.items())
+
+
+def test_gzip_by_first_bytes_streams_in_pieces(spark, tmp_path):
+    """Files are larger than what Spark reads whole, and come in many splits."""
+    records = [(f"{h}/{i}", s, p, q) for i, (h, s, p, q) in enumerate(random_records(400, 21) * 5)]
+    whole = text(records).encode()
+    (tmp_path / "in").mkdir()
+    cases = {
+        "members": (gzip.compress(whole[:70_001]) + gzip.compress(whole[70_001:]), whole),
+        "stored": (gzip.compress(whole, 0), whole),  # as many line feed bytes as the text has
+        "open": (gzip.compress(whole[:-1]), whole[:-1]),
+        "returns": (gzip.compress(whole.replace(b"\n", b"\r\n")), whole),
+        "feed": (gzip.compress(b"\n") + gzip.compress(whole) + gzip.compress(b"x" * 10, 0), b"\n" + whole + b"x" * 10),
+        "plain": (whole, whole),
+    }
+    for name, (data, _) in cases.items():
+        (tmp_path / "in" / name).write_bytes(data)
+    confs = {"spark.sql.sources.binaryFile.maxLength": "1000", "spark.sql.files.maxPartitionBytes": "3000"}
+    try:
+        for k, v in confs.items():
+            spark.conf.set(k, v)
+        found = fastq.read_gzip_by_magic(spark, str(tmp_path / "in")).collect()
+        got = {}
+        for r in sorted(found, key=lambda r: (r.file, r.ln)):
+            got.setdefault(r.file.rsplit("/", 1)[1], []).append(r)
+        assert set(got) == set(cases) - {"plain"}
+        for name, rows_ in got.items():
+            want = cases[name][1].decode()
+            assert [r.ln for r in rows_] == list(range(len(rows_))) and [r.value for r in rows_] == want.removesuffix("\n").split("\n"), name
+            assert [r.terminated for r in rows_] == [True] * (len(rows_) - 1) + [want.endswith("\n")], name
+        (tmp_path / "cut").write_bytes(cases["stored"][0][:-100])
+        with pytest.raises(Exception, match="end-of-stream"):
+            fastq.read_gzip_by_magic(spark, str(tmp_path / "cut")).count()
+    finally:
+        for k in confs:
+            spark.conf.unset(k)
+
+
+def test_lines_longer_than_a_chunk(monkeypatch):
+    monkeypatch.setattr(fastq, "_CHUNK", 7)
+    for given in (b"", b"\n", b"a", b"abcdefg", b"abcdefg\n", b"ab\n\n" + b"x" * 40 + b"\nyz\n", b"1234567890123\n123"):
+        found = [x for b in fastq._gzip_lines("f", iter([gzip.compress(given)])) for x in b.to_pylist()]
+        assert b"".join(x["value"] for x in found) == given and [x["ln"] for x in found] == list(range(given.count(b"\n") + (given[-1:] not in (b"", b"\n"))))
+        assert [x["terminated"] for x in found] == [x["value"].endswith(b"\n") for x in found]
+
+
+def test_offsets_of_more_files_than_are_broadcast(spark, tmp_path, monkeypatch):
+    for name, q in (("a", "#"), ("b", "h"), ("c", "h")):
+        (tmp_path / f"{name}.fq").write_text(f"@{name}\nACGT\n+\n{q * 4}\n")
+    reads = fastq.read_fastq(spark, str(tmp_path))
+    for most in (2, 3):
+        monkeypatch.setattr(archive, "MOST_FILES", most)
+        assert sorted((bytes(r.header_data) != b"", r.phred_offset) for r in archive.encode(reads).collect()) == [(True, 33), (True, 64), (True, 64)]
