@@ -22,6 +22,7 @@ Whole texts are encoded, however long. Columns other than doc_id and text are no
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from bisect import bisect_left
@@ -39,6 +40,10 @@ MAGIC = b"BCTI0001"
 END = 1
 SHARD_IDS = 4_000_000
 PARTITION_BYTES = 32 << 20
+#: A shard goes to the writer in rows of about so many bytes, so that neither arrow nor Spark holds it at once several times.
+ROW_BYTES = 256 << 10
+#: Bytes of text that are encoded at once.
+LOT_BYTES = 2 << 20
 HEAD = struct.Struct("<8sIIQQ")
 _DIRECT = np.uint32(1 << 31)
 
@@ -114,8 +119,17 @@ def shard(doc_ids: list, counts: np.ndarray, ids: np.ndarray) -> bytes:
         at = _slots(known, seeds, m)
         prints[at], numbers[at] = _prints(known), places
     width = ids.dtype.itemsize
-    body = b"".join([keys.astype("<i8").tobytes(), null.tobytes(), first.astype("<u8").tobytes(), struct.pack("<II", m, len(seeds)), seeds.astype("<u4").tobytes(), prints.astype("<u4").tobytes(), numbers.astype("<u4").tobytes(), ids.astype(f"<u{width}").tobytes()])
-    return HEAD.pack(MAGIC, width, n, len(ids), len(body)) + body
+    parts = [keys.astype("<i8").tobytes(), null.tobytes(), first.astype("<u8").tobytes(), struct.pack("<II", m, len(seeds)), seeds.astype("<u4").tobytes(), prints.astype("<u4").tobytes(), numbers.astype("<u4").tobytes(), ids.astype(f"<u{width}").tobytes()]
+    return b"".join([HEAD.pack(MAGIC, width, n, len(ids), sum(map(len, parts))), *parts])
+
+
+def rows_of(data: bytes) -> Iterator[bytes]:
+    """data in rows of about ``ROW_BYTES``, cut at line feed bytes, which go: the text writer ends each row with one."""
+    at = 0
+    while (cut := data.find(b"\n", at + ROW_BYTES)) >= 0:
+        yield data[at:cut]
+        at = cut + 1
+    yield data[at:]
 
 
 class Shard:
@@ -259,15 +273,23 @@ def write_shards(spark: SparkSession, docs: DataFrame, tokenizer_file: str, path
         keys, counts, ids, size, no = [], [], [], 0, 0
         lines = []
 
-        def flush() -> pa.RecordBatch:
+        def line(kind: str, no: int, seq: int, data: bytes) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([kind]), pa.array([no], pa.int32()), pa.array([seq], pa.int32()), pa.array([data], pa.binary())], ["kind", "no", "seq", "data"])
+
+        def flush() -> Iterator[pa.RecordBatch]:
             known = [k for k in keys if k is not None]
             lines.append(f"{no},{len(keys)},{size},{known[0] if known else ''},{known[-1] if known else ''}")
-            data = shard(keys, np.concatenate(counts), np.concatenate(ids))
-            return pa.RecordBatch.from_arrays([pa.array(["ids"]), pa.array([no], pa.int32()), pa.array([data], pa.binary())], ["kind", "no", "data"])
+            for seq, row in enumerate(rows_of(shard(keys, np.concatenate(counts), np.concatenate(ids)))):
+                yield line("ids", no, seq, row)
+            pa.default_memory_pool().release_unused()
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        def lots() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                lot = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // LOT_BYTES
+                cuts = [0, *(np.flatnonzero(np.diff(lot)) + 1).tolist(), batch.num_rows]
+                yield from (batch.slice(lo, hi - lo) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True) if hi > lo)
+
+        for batch in lots():
             got, many = encode(batch.column(1))
             own, ends, lo = batch.column(0).to_pylist(), np.concatenate([[0], np.cumsum(many)]), 0
             while lo < len(own):  # a shard ends with the document that fills it
@@ -277,18 +299,19 @@ def write_shards(spark: SparkSession, docs: DataFrame, tokenizer_file: str, path
                 ids.append(got[ends[lo] : ends[hi]])
                 size, lo = size + int(ends[hi] - ends[lo]), hi
                 if size >= shard_ids:
-                    yield flush()
+                    yield from flush()
                     keys, counts, ids, size, no = [], [], [], 0, no + 1
         if keys:
-            yield flush()
+            yield from flush()
         if lines:
-            yield pa.RecordBatch.from_arrays([pa.array(["manifest"]), pa.array([0], pa.int32()), pa.array(["\n".join(lines).encode()], pa.binary())], ["kind", "no", "data"])
+            yield line("manifest", 0, 0, "\n".join(lines).encode())
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(docs) // PARTITION_BYTES))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     ordered = texts.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    ordered.mapInArrow(run, "kind string, no int, data binary").select("kind", "no", F.col("data").cast("string").alias("value")).write.partitionBy("kind", "no").text(path)
+    rows = ordered.mapInArrow(run, "kind string not null, no int not null, seq int not null, data binary").sortWithinPartitions("kind", "no", "seq")
+    rows.select("kind", "no", F.col("data").cast("string").alias("value")).write.partitionBy("kind", "no").text(path)  # the order that this write asks for, so it sorts no more
 
 
 def _part(column: str) -> Column:
@@ -317,7 +340,8 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, no, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            for path_, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                no, part = (int(x) for x in re.search("/no=([0-9]+)/part-([0-9]+)[^/]*$", path_).groups())
                 s = Shard(data.as_buffer())
                 number = s.find(s.keys)  # by key, as any reader would; documents without a key of their own by number
                 number = np.where((number >= 0) & (s.null == 0) & (s.keys[np.maximum(number, 0)] == s.keys) & (np.concatenate([[True], s.keys[1:] != s.keys[:-1]])), number, np.arange(s.n))
@@ -338,7 +362,7 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
 
     if not exists(spark, f"{path}/kind=ids"):
         return spark.createDataFrame([], schema).drop("part", "no")
-    read = _files(spark, f"{path}/kind=ids").mapInArrow(run, schema)
+    read = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/kind=ids").select("path", "content").mapInArrow(run, schema)  # each expression before would copy the content
     # one row for each shard: sums of the shards of a file, then of files
     sums = manifest(spark, path).select("part", "no", "total")
     parts = sums.groupBy("part").agg(F.sum("total").alias("all")).select("part", F.sum("all").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)).alias("to"), "all")

@@ -542,3 +542,16 @@ def test_pipeline_stages(spark):
         at = nxt
     out = P.STAGES[-1][1](spark, at, d).collect()
     assert len(out) == at.count() and all(s.decoded for r in out for s in r.pieces)
+
+
+def test_shards_reach_the_writer_in_small_rows(spark, monkeypatch):
+    """A shard comes back byte by byte from rows that end at line feed bytes, wherever they stand."""
+    from basecairn.llm import token_files
+
+    monkeypatch.setattr(token_files, "ROW_BYTES", 3)
+    for data in (b"", b"\n", b"abc", b"abc\n", b"abcd\n\n\nefghij\nk\n", b"\n" * 9, b"no feed at all", bytes(range(256)) * 3):
+        rows = list(token_files.rows_of(data))
+        assert b"".join(r + b"\n" for r in rows) == data + b"\n"
+    long = bytes(range(256)) * 40
+    monkeypatch.setattr(token_files, "ROW_BYTES", 100)
+    assert max(map(len, token_files.rows_of(long))) < 100 + 256 < len(long)
