@@ -56,13 +56,26 @@ def _hash_rows(codes: np.ndarray) -> np.ndarray:
     return p
 
 
-def _uniform(key: np.ndarray, *parts) -> np.ndarray:
-    """Uniform numbers in (0, 1) hashed from the row's key and counters."""
+def _slot(h: np.ndarray) -> np.ndarray:
+    """One of 2^20 slots for each hash; short pieces, whose hashes are small numbers, spread as others."""
     with np.errstate(over="ignore"):
-        x = key.copy()
-        for i, part in enumerate(parts):
+        return (h * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(44)).astype(np.int64)
+
+
+def _mixed(key: np.ndarray, *parts, first: int = 0) -> np.ndarray:
+    """key with counters mixed in, the first of them counter number ``first``."""
+    with np.errstate(over="ignore"):
+        x = key
+        for i, part in enumerate(parts, first):
             x = (x ^ (np.asarray(part).astype(np.uint64) + np.uint64(0x632BE59BD9B4E019 + i))) * np.uint64(0xBF58476D1CE4E5B9)
             x ^= x >> np.uint64(29)
+    return x
+
+
+def _uniform(key: np.ndarray, *parts, first: int = 0) -> np.ndarray:
+    """Uniform numbers in (0, 1) hashed from the row's key and counters; key may have counters below ``first`` mixed in."""
+    with np.errstate(over="ignore"):
+        x = _mixed(key, *parts, first=first)
         x = (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
         x ^= x >> np.uint64(31)
     return ((x >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
@@ -95,13 +108,18 @@ class Lattices:
         for i in usable:
             codes = np.frombuffer(self.pieces[i].encode("utf-32-le"), np.uint32)[None, :]
             hashes.append(_hash_rows(codes)[0, -1])
-        order = np.argsort(np.array(hashes, np.uint64))
+        order = np.argsort(_slot(np.array(hashes, np.uint64)), kind="stable")
         self.hash, self.id = np.array(hashes, np.uint64)[order], np.array(usable)[order]
         assert len(np.unique(self.hash)) == len(self.hash)
         self.weight = -temper * np.log(self.id + 1.0)
         self.linear = np.exp(self.weight)
         self.maybe = np.zeros(1 << 20, bool)
-        self.maybe[(self.hash >> np.uint64(44)).astype(np.int64)] = True
+        top = _slot(self.hash)
+        self.maybe[top] = True
+        # where the pieces of a slot begin, and how many share one at most
+        self.begin = np.zeros(1 << 20, np.uint16 if len(top) < 1 << 16 else np.int32)
+        self.begin[top[::-1]] = np.arange(len(top))[::-1]
+        self.sharing = int(np.bincount(top).max())
         self.powers = np.ones(self.longest + 1, np.uint64)
         with np.errstate(over="ignore"):
             for i in range(self.longest):
@@ -136,11 +154,17 @@ class Lattices:
         with np.errstate(over="ignore"):
             for n in range(1, longest + 1):
                 h = prefix[:, n:] - prefix[:, : width - n + 1] * self.powers[n]
-                r, s = np.nonzero(self.maybe[(h >> np.uint64(44)).astype(np.int64)])
+                slot = _slot(h)
+                r, s = np.nonzero(self.maybe[slot])
                 fits = s + n <= lengths[r]
                 r, s = r[fits], s[fits]
-                at = np.minimum(np.searchsorted(self.hash, h[r, s]), len(self.hash) - 1)
-                hit = self.hash[at] == h[r, s]
+                h, at = h[r, s], self.begin[slot[r, s]].astype(np.int64)
+                hit = self.hash[at] == h
+                for _ in range(self.sharing - 1):
+                    on = np.flatnonzero(~hit)
+                    on = on[at[on] + 1 < len(self.hash)]
+                    at[on] += 1
+                    hit[on] = self.hash[at[on]] == h[on]
                 r, s, at = r[hit], s[hit], at[hit]
                 weight[r, s, n - 1] = self.weight[at] if logs else self.linear[at]
                 ids[r, s, n - 1] = self.id[at]
@@ -167,7 +191,7 @@ class Lattices:
 
 def _room(column: np.ndarray, size: int) -> np.ndarray:
     """column, or a longer copy if it has fewer than size places."""
-    return column if len(column) >= size else np.concatenate([column, np.zeros(max(size - len(column), len(column) // 2), column.dtype)])
+    return column if len(column) >= size else np.concatenate([column, np.zeros(max(size - len(column), len(column) // 8), column.dtype)])
 
 
 class Store:
@@ -175,7 +199,7 @@ class Store:
     Parts that only byte pieces spell have no lattice; their places are negative, -1 - place being their number in ``spelling``.
     When it is full, parts that were used once since the last time are forgotten."""
 
-    most = 100_000
+    most = 150_000
 
     def __init__(self, lattices: Lattices):
         self.lattices = lattices
@@ -184,15 +208,19 @@ class Store:
         self.base, self.length, self.uses = (np.zeros(1 << 12, np.int32) for _ in range(3))
         self.edge = np.zeros(1 << 14, np.int32)
         self.nodes = self.used = 0
-        self.columns = {"cum": np.zeros(1 << 16, np.float32), "p": np.zeros(1 << 16, np.float32), "id": np.zeros(1 << 16, np.int32), "n": np.zeros(1 << 16, np.int8)}
+        self.columns = {"cum": np.zeros(1 << 16, np.float32), "p": np.zeros(1 << 16, np.float32), "id": np.zeros(1 << 16, np.uint16 if len(lattices.pieces) <= 1 << 16 else np.int32), "n": np.zeros(1 << 16, np.int8)}
 
     def places(self, parts: list[str]) -> np.ndarray:
         """The places of distinct parts."""
         if self.count > self.most:
             self._forget()
         known = self.place
-        self.add([p for p in parts if p not in known])
-        out = np.fromiter(map(known.__getitem__, parts), np.int64, len(parts))
+        found = list(map(known.get, parts))
+        missing = [i for i, at in enumerate(found) if at is None]
+        self.add([parts[i] for i in missing])
+        for i in missing:
+            found[i] = known[parts[i]]
+        out = np.array(found, np.int64)
         self.uses[out[out >= 0]] += 1
         return out
 
@@ -274,6 +302,8 @@ def sample(store: Store, texts: list[str | None], keys: list[str], samples: int
     base, length = store.base[np.maximum(parts, 0)], store.length[np.maximum(parts, 0)]
     edge = store.edge
 
+    mixed = [_mixed(part_key, r, part_no) for r in range(samples)]
+
     def descend(which: np.ndarray, at: np.ndarray, step: np.ndarray, r: int) -> dict:
         """Sampled steps of the parts ``which``, each from its place on, in order: part, step, node, edge, id, p."""
         out, raw = [], which[parts[which] < 0]
@@ -281,7 +311,7 @@ def sample(store: Store, texts: list[str | None], keys: list[str], samples: int
         cur, pos, n = which[live], at[live], step[live]
         while len(cur):
             node = base[cur] + pos
-            e, x = edge[node], _uniform(part_key[cur], r, part_no[cur], n, 1).astype(np.float32)
+            e, x = edge[node], _uniform(mixed[r][cur], n, 1, first=2).astype(np.float32)
             beyond = np.flatnonzero(cum[e] < x)
             while len(beyond):
                 e[beyond] += 1
@@ -298,13 +328,12 @@ def sample(store: Store, texts: list[str | None], keys: list[str], samples: int
         least = np.zeros(len(parts), np.int64)
         least[which] = step
         many = np.bincount(part, minlength=len(parts))
-        to = (np.cumsum(many) - many)[part] + n - least[part]
-        cols = []
-        for c in (part, n, node, e):
-            x = np.empty(len(c), np.int64)
-            x[to] = c
-            cols.append(x)
-        part, n, node, e = cols
+        begin = np.cumsum(many) - many
+        to = (begin - least)[part] + n
+        node, e, got = np.empty_like(node), np.empty_like(e), (node, e)
+        node[to], e[to] = got
+        part = np.repeat(np.arange(len(parts)), many)
+        n = np.arange(len(part)) - (begin - least)[part]
         byte = e < 0
         safe = np.maximum(e, 0)
         p = np.where(byte, 1.0, prob[safe].astype(np.float64)) if len(prob) else np.ones(len(e))
@@ -322,7 +351,7 @@ def sample(store: Store, texts: list[str | None], keys: list[str], samples: int
         path["g"] = np.full(len(p), -np.inf)
         free = np.flatnonzero(1 - p > 1e-12)
         phi = path["upto"][free] + np.log1p(-p[free])
-        e = -np.log(_uniform(part_key[path["part"][free]], r, part_no[path["part"][free]], path["step"][free], 2))
+        e = -np.log(_uniform(mixed[r][path["part"][free]], path["step"][free], 2, first=2))
         path["g"][free] = phi - np.log(e + np.exp(np.minimum(phi - bound[row[free]], 700)))
 
     g0 = -np.log(-np.log(_uniform(row_key, 0, 0, 0, 3))) if n_rows else np.zeros(0)
@@ -365,14 +394,14 @@ def sample(store: Store, texts: list[str | None], keys: list[str], samples: int
                 for e in gone.setdefault((q, a), [int(path["edge"][a])]):
                     rest[j, e - lo[j]] = 0
             line = np.arange(len(rows))
-            x = _uniform(part_key[part], r, part_no[part], step, 4) * rest.sum(1)
+            x = _uniform(mixed[r][part], step, 4, first=2) * rest.sum(1)
             k = np.minimum((np.cumsum(rest, 1) <= x[:, None]).sum(1), hi - lo - 1)
             k = np.where(rest[line, k] > 0, k, rest.argmax(1))
             p = rest[line, k]
             mass = rest.sum(1) - p
             # what stays of the region, under the value just taken
             phi = upto + np.log(np.maximum(mass, 1e-300))
-            e = -np.log(_uniform(part_key[part], r, part_no[part], step, 5))
+            e = -np.log(_uniform(mixed[r][part], step, 5, first=2))
             path["g"][at] = np.where(mass > 1e-12, phi - np.log(e + np.exp(np.minimum(phi - best[rows], 700))), -np.inf)
             so_far[rows] = upto + np.log(p)
             chosen = lo + k

@@ -555,3 +555,22 @@ def test_shards_reach_the_writer_in_small_rows(spark, monkeypatch):
     long = bytes(range(256)) * 40
     monkeypatch.setattr(token_files, "ROW_BYTES", 100)
     assert max(map(len, token_files.rows_of(long))) < 100 + 256 < len(long)
+
+
+def test_edges_are_all_pieces_that_match_and_slots_are_not_crowded():
+    from basecairn.llm import sampled_pieces
+    from basecairn.llm.queries import tokenizer_path
+
+    lattices = sampled_pieces.Lattices(tokenizer_path("piece_bpe_32k.model"))
+    assert lattices.sharing <= 8  # single characters have small hashes; by their highest bits thousands shared a slot
+    usable = {lattices.pieces[i]: int(i) for i in lattices.id}
+    store = sampled_pieces.Store(lattices)
+    parts = [p for p in list(usable)[::97] if len(p) > 3] + ["▁the", "▁transformation", "aaaa", "▁x"]
+    parts = [p for p in dict.fromkeys(parts) if all(c in lattices.single for c in p)]
+    for lo in range(0, len(parts), 50):
+        some = parts[lo : lo + 50]
+        part, place, n, ids, p = lattices.edges(some)
+        want = {(i, a, b - a, usable[t[a:b]]) for i, t in enumerate(some) for a in range(len(t)) for b in range(a + 1, len(t) + 1) if t[a:b] in usable}
+        assert set(zip(part.tolist(), place.tolist(), n.tolist(), ids.tolist())) == want
+    places = store.places(parts)
+    assert len(set(places.tolist())) == len(parts) and store.places(parts[::-1]).tolist() == places[::-1].tolist()
