@@ -70,7 +70,7 @@ select doc_id, size, source_size, target,
 
 def sampled_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, rank, n_pieces, ids_crc32 (ids as text, comma-separated), log_p, perturbed, inclusion, decoded: two rows for most documents, one without a sample (nulls) where the text is null."""
-    found = sampled_pieces.sampled(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("piece_bpe_32k.model"), F.col("doc_id"), keep=["doc_id"])
+    found = sampled_pieces.sampled(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("piece_bpe_32k.model"), F.col("doc_id"), keep=["doc_id"], remembered=200_000)
     one = found.select("doc_id", F.explode_outer("pieces").alias("s"))
     return one.select("doc_id", "s.rank", F.array_size("s.ids").cast("long").alias("n_pieces"), F.crc32(F.array_join(F.col("s.ids").cast("array<string>"), ",")).alias("ids_crc32"), "s.log_p", "s.perturbed", "s.inclusion", "s.decoded")
 

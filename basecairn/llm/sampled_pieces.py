@@ -199,10 +199,10 @@ class Store:
     Parts that only byte pieces spell have no lattice; their places are negative, -1 - place being their number in ``spelling``.
     When it is full, parts that were used once since the last time are forgotten."""
 
-    most = 150_000
+    most = 100_000
 
-    def __init__(self, lattices: Lattices):
-        self.lattices = lattices
+    def __init__(self, lattices: Lattices, most: int | None = None):
+        self.lattices, self.most = lattices, most or self.most
         self.place: dict[str, int] = {}
         self.count, self.spelling = 0, []
         self.base, self.length, self.uses = (np.zeros(1 << 12, np.int32) for _ in range(3))
@@ -468,20 +468,22 @@ def _column(rows: list[list[tuple]]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([rank, ids, *columns], ["rank", "ids", "log_p", "perturbed", "inclusion", "decoded"]))
 
 
-_STORES: dict[tuple[str, float], Store] = {}
+_STORES: dict[tuple[str, float, int | None], Store] = {}
 
 
-def _store(model_file: str, temper: float) -> Store:
+def _store(model_file: str, temper: float, remembered: int | None = None) -> Store:
     """One store for each worker process, so that its lattices outlive a task."""
-    if (model_file, temper) not in _STORES:
-        _STORES[model_file, temper] = Store(Lattices(model_file, temper))
-    return _STORES[model_file, temper]
+    if (model_file, temper, remembered) not in _STORES:
+        _STORES[model_file, temper, remembered] = Store(Lattices(model_file, temper), remembered)
+    return _STORES[model_file, temper, remembered]
 
 
 def sampled(
-    spark: SparkSession, docs: DataFrame, model_file: str, key: Column, samples: int = SAMPLES, seed: int = 0, temper: float = TEMPER, keep: Sequence[str] | None = None
+    spark: SparkSession, docs: DataFrame, model_file: str, key: Column, samples: int = SAMPLES, seed: int = 0, temper: float = TEMPER, keep: Sequence[str] | None = None, remembered: int | None = None
 ) -> DataFrame:
-    """docs (or only its columns ``keep``) with pieces: for each text up to ``samples`` segmentations (SCHEMA); decoded tells that the ids give the text again. No shuffle."""
+    """docs (or only its columns ``keep``) with pieces: for each text up to ``samples`` segmentations (SCHEMA); decoded tells that the ids give the text again. No shuffle.
+
+    remembered: parts whose lattices a worker keeps (Store.most if None); more take memory and spare time, samples are the same."""
     prepare(spark)
     kept = [f for f in docs.schema.fields if f.name != "pieces" and (keep is None or f.name in keep)]
     names = [f.name for f in kept]
@@ -489,7 +491,7 @@ def sampled(
     at = names.index("text") if "text" in names and docs.schema["text"].dataType == StringType() else len(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store = _store(model_file, temper)
+        store = _store(model_file, temper, remembered)
         for batch in batches:
             texts, keys, lo, size = batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), 0, 0
             for i, t in enumerate(texts):

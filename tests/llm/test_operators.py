@@ -574,3 +574,16 @@ def test_edges_are_all_pieces_that_match_and_slots_are_not_crowded():
         assert set(zip(part.tolist(), place.tolist(), n.tolist(), ids.tolist())) == want
     places = store.places(parts)
     assert len(set(places.tolist())) == len(parts) and store.places(parts[::-1]).tolist() == places[::-1].tolist()
+
+
+def test_samples_do_not_depend_on_how_many_parts_are_remembered():
+    from basecairn.llm import sampled_pieces
+    from basecairn.llm.queries import tokenizer_path
+
+    lattices = sampled_pieces.Lattices(tokenizer_path("piece_bpe_32k.model"))
+    texts = [f"Some words {i} and {i * 7919} more of them, {'abcdefghij'[i % 10] * 3}{i}x" for i in range(60)]
+    few, many = sampled_pieces.Store(lattices, 10), sampled_pieces.Store(lattices, 10_000)
+    for lo in range(0, 60, 6):
+        a, b = (sampled_pieces.sample(s, texts[lo : lo + 6], [str(i) for i in range(lo, lo + 6)]) for s in (few, many))
+        assert [[(x[0].tolist(), *x[1:]) for x in r] for r in a] == [[(x[0].tolist(), *x[1:]) for x in r] for r in b]
+    assert few.count < many.count
